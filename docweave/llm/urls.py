@@ -93,15 +93,18 @@ def example_labels(spark: SparkSession, n: int = 2000) -> DataFrame:
     def number(salt: str, k: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("string")
 
+    def odds(salt: str, k: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)) == 0
+
     mark = F.pmod(F.xxhash64("id", F.lit("mark")), F.lit(4))
     bad = F.col("id") % 2 == 1
     suffix = pick("suffix", F.array(*(F.lit(x) for x in ("com", "org", "net", "info"))), 4)
-    plain = F.concat(word("h"), F.when(F.col("id") % 6 < 2, F.concat(F.lit("."), word("g"))).otherwise(F.lit("")))
+    plain = F.concat(word("h"), F.when(odds("two", 3), F.concat(F.lit("."), word("g"))).otherwise(F.lit("")))
     host = F.when(~bad, plain).when(mark < 2, F.concat(word("h"), F.lit("-"), word("i"))).when(mark == 2, F.concat(word("h"), number("hd", 100000), F.lit("-"), word("k"))).otherwise(plain)
     before = pick("www", F.array(*(F.lit(x) for x in ("", "www.", "m.", "blog."))), 4)
     path = F.concat(F.lit("/"), word("p"), F.lit("/"), F.when(bad & (mark >= 2), F.concat(number("n1", 1 << 30), F.lit("/"), number("n2", 1 << 30))).otherwise(number("n3", 1000)))
-    query = F.when(bad & (mark == 3), F.concat(F.lit("?a="), number("q", 1 << 30), F.lit("&b=1&c=2&d="), number("r", 1 << 30))).when(F.col("id") % 5 == 0, F.lit("?page=2")).otherwise(F.lit(""))
-    url = F.concat(F.when(F.col("id") % 3 == 0, F.lit("http://")).otherwise(F.lit("https://")), before, host, F.lit("."), suffix, path, query)
+    query = F.when(bad & (mark == 3), F.concat(F.lit("?a="), number("q", 1 << 30), F.lit("&b=1&c=2&d="), number("r", 1 << 30))).when(odds("query", 5), F.lit("?page=2")).otherwise(F.lit(""))
+    url = F.concat(F.when(odds("scheme", 3), F.lit("http://")).otherwise(F.lit("https://")), before, host, F.lit("."), suffix, path, query)
     return spark.range(0, n, 1, 1).select(url.alias("url"), bad.cast("int").alias("label"))
 
 
