@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import text_batches
 from .textops import U64, VecMap, buffers, slices
 
 UNDETERMINED = "und"
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*docs.schema.fields])
     for field in ("lang_pred string", "score double", "bits_per_byte double"):
         schema = schema.add(*field.split())
-    return inner.mapInArrow(run, schema)
+    return text_batches(inner).mapInArrow(run, schema)
 
 
 def reject_unknown(docs: DataFrame, model: Model, worst: float = 8.0) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, forest
-from .scratch import materialise, small_enough
+from .scratch import materialise, small_enough, text_batches
 from .textops import U64, Words, buffers, distinct_by_doc, mix, shingles, slices
 
 
@@ -107,7 +107,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     ["doc_id", "n_shingles", "digest", "bands", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SKETCH)
 
 
 def in_chunks(members: DataFrame, key: str, chunk: int, columns: list[str]) -> DataFrame:

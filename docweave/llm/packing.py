@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import materialise
+from .scratch import materialise, text_batches
 from .textops import slices
 from .tokens import encoder
 
@@ -67,7 +67,7 @@ def token_pieces(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
                 blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(all_ids.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), blob], ["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:

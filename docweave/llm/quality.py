@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, text_batches
 from .textops import Words, buffers, distinct_by_doc, slices
 
 SYMBOLS = "#$%&*|!?.,;:-_/\\@()[]{}<>=+~^\"'"
@@ -98,7 +98,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 x = statistics(*buffers(part.column("text"))).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

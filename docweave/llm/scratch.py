@@ -48,6 +48,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """``df``, with Arrow batches of about ``size`` for it and what follows in the session, unless the cluster sets a size.
+
+    A batch exists twice, in the JVM and in Python, next to what is computed from it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.sparkContext.getConf().contains(key):
+        df.sparkSession.conf.set(key, size)
+    return df
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
