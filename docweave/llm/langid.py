@@ -170,6 +170,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return text_batches(inner).mapInArrow(run, schema)
 
 
-def reject_unknown(docs: DataFrame, model: Model, worst: float = 8.0) -> DataFrame:
-    """Rows whose language is determined and coded better than by a uniform code (``worst`` bits a byte); columns as before."""
+def reject_unknown(docs: DataFrame, model: Model, worst: float = 11.0) -> DataFrame:
+    """Rows whose language is determined and costs less than ``worst`` bits a byte; columns as before.
+
+    A short text with a key or a number in it may cost more than the 8 bits of a uniform code, as each odd byte pays its
+    escapes; 11 bits are reached only where hardly a byte is of any language.
+    """
     return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < worst)).select(*docs.columns)
