@@ -35,7 +35,8 @@ SPAN = "struct<start:bigint,end:bigint,value:string>"
 class Params:
     window: int = 3  # words on either side of an entity that are followed up
     reach: int = 80  # characters on either side in which they are looked for
-    witnesses: int = 5  # distinct beginnings, ends and surroundings of the texts that hold both
+    witnesses: int = 5  # distinct beginnings, ends and surroundings of the texts that hold both, at least
+    independent: float = 0.5  # and that share of the texts: near copies of one text are one witness
     bits: float = 4.0
     confidence: float = 0.9
     shortest: int = 4  # characters of a term at least
@@ -106,7 +107,7 @@ def find_base(docs: DataFrame) -> DataFrame:
 
 
 def _entities(found: DataFrame, p: Params) -> DataFrame:
-    """(entity, term, lead, tail, around) for each term in the window of each base finding."""
+    """(entity, term, key, lead, tail, around) for each term in the window of each base finding."""
     text = F.col("text")
     spans = _named(list(BASE), lambda k, _, x: F.struct(F.concat(F.lit(f"{k}:"), F.lower(x["value"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end")))
     each = found.select("text", F.explode(spans).alias("s")).select("text", "s.*")
@@ -114,15 +115,16 @@ def _entities(found: DataFrame, p: Params) -> DataFrame:
     after = F.substring(text, (F.col("end") + 1).cast("int"), F.lit(p.reach))
     words = each.select(
         "entity",
+        F.xxhash64(text).alias("key"),
         F.xxhash64(F.substring(text, 1, 40)).alias("lead"),
         F.xxhash64(F.substring(text, -40, 40)).alias("tail"),
         F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0)).alias("b"),
         F.slice(F.regexp_extract_all(F.lower(after), F.lit(WORD), F.lit(0)), 1, p.window).alias("a"),
     )
     b = F.when(F.size("b") > p.window, F.slice("b", -p.window, p.window)).otherwise(F.col("b"))
-    near = words.select("entity", "lead", "tail", F.concat(b, "a").alias("near"))
+    near = words.select("entity", "key", "lead", "tail", F.concat(b, "a").alias("near"))
     terms = F.filter(F.array_distinct("near"), lambda w: F.length(w) >= p.shortest)
-    return near.select("entity", "lead", "tail", F.xxhash64("near").alias("around"), F.explode(terms).alias("term"))
+    return near.select("entity", "key", "lead", "tail", F.xxhash64("near").alias("around"), F.explode(terms).alias("term"))
 
 
 def _vocabulary(docs: DataFrame, terms: DataFrame, p: Params) -> DataFrame:
@@ -136,8 +138,8 @@ def _vocabulary(docs: DataFrame, terms: DataFrame, p: Params) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame, p: Params = Params()) -> DataFrame:
     """(term, entity, bits, confidence) of the terms that reveal an entity beyond the thresholds."""
     near = materialise(_entities(found, p), "near")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("lead").alias("l"), F.countDistinct("tail").alias("t"), F.countDistinct("around").alias("c"))
-    pairs = materialise(pairs.where(F.least("l", "t", "c") >= p.witnesses).select("entity", "term"), "pairs")
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("lead").alias("l"), F.countDistinct("tail").alias("t"), F.countDistinct("around").alias("c"), F.countDistinct("key").alias("n"))
+    pairs = materialise(pairs.where((F.least("l", "t", "c") >= p.witnesses) & (F.least("l", "t", "c") >= p.independent * F.col("n"))).select("entity", "term"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("bits"), F.lit(0.0).alias("confidence"))
     where = materialise(_vocabulary(docs, pairs.select("term").distinct(), p), "vocabulary")
