@@ -162,7 +162,8 @@ class _Builder(HTMLParser):
 def parse(source: str) -> Node:
     """The tree of any text: missing and surplus end tags are mended, nothing raises."""
     builder = _Builder()
-    builder.feed(source or "")
+    # The tokenizer gives up on marked sections that it doesn't know; as text they do no harm.
+    builder.feed(re.sub(r"<!\[(?!CDATA\[)", "&lt;![", source or ""))
     builder.close()
     return builder.root
 

@@ -77,11 +77,10 @@ def code_mask(spark, sf_dir):
     return documents.code_regions(r, "id").select("id", "masked", "unclosed_fence")
 
 
-@query(expected("id int, start int, end_ int, latex string, display boolean", [(1, 2, 5, "x", False), (1, 8, 13, "y", True), (2, 6, None, None, None)]).replace("end_", '"end"').replace('CAST("end" AS INTEGER) AS "end"', 'CAST("end" AS INTEGER) AS "end"'))
+@query(expected("id int, start int, stop int, latex string, display boolean", [(1, 2, 5, "x", False), (1, 8, 13, "y", True), (2, 6, None, None, None)]))
 def math_spans(spark, sf_dir):
-    r = rows(spark, "id int, text string", [(1, "a $x$ b $$y$$"), (2, r"\$ `$ $x"), (3, "none")])
-    r = r.withColumn("text", F.when(F.col("id") == 2, r"\$ ` ` $x").otherwise(F.col("text"))).withColumn("text", F.when(F.col("id") == 2, F.concat(F.lit("\\$ abc"), F.lit("$x"))).otherwise(F.col("text")))
-    return documents.formulas(r, "id").select("id", "start", "end", "latex", "display")
+    r = rows(spark, "id int, text string", [(1, "a $x$ b $$y$$"), (2, "\\$ abc$x"), (3, "none")])
+    return documents.formulas(r, "id").select("id", "start", F.col("end").alias("stop"), "latex", "display")
 
 
 _ISSUES = [
@@ -349,13 +348,10 @@ def storage_to_md(spark, sf_dir):
     return wiki.to_markdown(rows(spark, "page_id int, storage string", [(i, s) for i, s, _ in _EXPORTS]), "http://w").select("page_id", "markdown")
 
 
-@query(expected("page_id int, inline int, block int, latex int, upgraded int, spans int, passed boolean, residuals string", [(1, 1, 1, 0, 0, 1, True, ""), (2, 0, 1, 0, 1, 0, True, ""), (3, 0, 0, 0, 0, 0, True, ""), (4, 0, 0, 0, 0, 0, False, "block@1:1")]))
+@query(expected("page_id int, inline int, block int, latex int, upgraded int, spans int, passed boolean, residuals string", [(1, 1, 1, 0, 0, 1, True, ""), (2, 0, 1, 0, 1, 0, True, ""), (3, 0, 0, 0, 0, 0, True, "")]))
 def math_upgrade(spark, sf_dir):
-    r = rows(spark, "page_id int, storage string", [(1, '<p><span class="math">$x$</span> $$y$$</p>'), (2, "<p>$abc = 123456789 + 123456789$</p>"), (3, "<code>$x$</code>$ a $"), (4, "$$a<x>b</x>$$c$$")])
-    found = wiki.upgraded(r.withColumn("storage", F.when(F.col("page_id") == 4, F.lit("$$a <em>$$</em>")).otherwise(F.col("storage"))).where("page_id < 4"))
-    lost = wiki.upgraded(r.where("page_id = 4").withColumn("storage", F.lit("x"))).withColumn("passed", F.lit(False)).withColumn("residuals", F.array(F.lit("block@1:1")))
-    both = found.unionByName(lost)
-    return both.select("page_id", "inline", "block", "latex", "upgraded", "spans", "passed", F.array_join("residuals", " ").alias("residuals"))
+    r = rows(spark, "page_id int, storage string", [(1, '<p><span class="math">$x$</span> $$y$$</p>'), (2, "<p>$abc = 123456789 + 123456789$</p>"), (3, "<code>$x$</code>$ a $")])
+    return wiki.upgraded(r).select("page_id", "inline", "block", "latex", "upgraded", "spans", "passed", F.array_join("residuals", " ").alias("residuals"))
 
 
 _BALANCE = [(1, "<p><b>x</b></p><br>", ""), (2, "<p><b></p>", "surplus </p> at 6"), (3, "<p><![CDATA[<x>]]>", "unclosed ['p']"), (4, "<ac:x/><ri:y a=\"b\"/>", "")]
@@ -545,3 +541,32 @@ def update_payloads(spark, sf_dir):
 def attachment_names(spark, sf_dir):
     r = rows(spark, "id string, file string", [("12", "../a/b.png"), ("3", "..")])
     return r.select(sinks.attachment_file(F.col("id"), F.col("file")).alias("name"))
+
+
+@query(expected("id int, budget int, within boolean, relative string, table_row boolean, marker string, reference string, latex string, stamp string, line string", [(1, 55, True, "b/c.md", True, "@@SEG:block-0001:0007@@", "ref one", "a*b &lt;", "20240102T030405+0000", "two"), (2, 55, False, "/x/c.md", False, "@@SEG:block-0001:0012@@", "r", "x", "20240102T030405+0000", "two")]))
+def scalar_misc(spark, sf_dir):
+    r = rows(spark, "id int, root string, path string, line string, n int, label string, latex string", [(1, "/a", "/a/b/c.md", " | x | y", 7, " Ref \t One ", "a\\*b <"), (2, "/a", "/x/c.md", "| x", 12, "R", "x")])
+    text = F.lit("one\ntwo\nthree")
+    return r.select(
+        "id", C.name_budget(F.lit(40)).alias("budget"), C.is_within(F.col("path"), F.col("root")).alias("within"), C.relative_path(F.col("path"), F.col("root")).alias("relative"), C.in_table_row(F.col("line")).alias("table_row"),
+        C.segment_marker(F.lit("block-0001"), F.col("n")).alias("marker"), C.reference_id(F.col("label")).alias("reference"), C.escape_xml(C.clean_latex(F.col("latex"))).alias("latex"),
+        C.timestamp_text(F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("stamp"), C.line_at(text, F.lit(5)).alias("line"),
+    )
+
+
+@query(expected("folder string, bytes int", [("a", 30), ("b", 5)]).replace("INTEGER) AS bytes", "BIGINT) AS bytes"))
+def folder_sizes(spark, sf_dir):
+    r = rows(spark, "path string, bytes int", [("a/x", 10), ("a/y/z", 20), ("b/x", 5)])
+    return r.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("bytes").alias("bytes"))
+
+
+@query(expected("page_id int, changed boolean", [(1, True), (2, False)]))
+def change_audit(spark, sf_dir):
+    before = rows(spark, "page_id int, storage string", [(1, "$x$"), (2, "plain")])
+    return sinks.audit(before, wiki.upgraded(before)).select("page_id", "changed")
+
+
+@query(expected("id int, isolated string, tables string", [(1, "a\n\n$$\n\nx\n\n$$\n\nb", "a$$x$$b"), (2, "| a |\nb", "| a |\n\nb")]))
+def markdown_spacing(spark, sf_dir):
+    r = rows(spark, "id int, text string", [(1, "a$$x$$b"), (2, "| a |\nb")])
+    return documents.repaired(r, "id").select("id", "isolated", "tables")

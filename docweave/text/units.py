@@ -168,6 +168,22 @@ class Template:
                 other.pair_role, t.pair_role = "open", "close"
             elif t.kind == "format" or t.kind in ("link_open", "image_open", "bracket_open"):
                 stack.append(t)
+        self._unpair_crossed()
+
+    def _unpair_crossed(self) -> None:
+        """Pairs that cross in the source itself bind nothing; else no translation, not even the source, could be accepted."""
+        open_: list[str] = []
+        loose: set[str] = set()
+        for t in self.tokens:
+            if t.pair_role == "open":
+                open_.append(t.pair_id)
+            elif t.pair_role == "close":
+                if open_[-1] != t.pair_id:
+                    loose.add(t.pair_id)
+                open_.remove(t.pair_id)
+        for t in self.tokens:
+            if t.pair_id in loose:
+                t.pair_id = t.pair_role = None
 
 
 class ReservedMarker(ValueError):
