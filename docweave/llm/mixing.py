@@ -110,7 +110,7 @@ def solve(sizes: DataFrame, p: Params = Params()) -> tuple[DataFrame, bool]:
         now = after
         if after.where(~F.col("done")).isEmpty():
             break
-    none = F.array().cast("array<struct<sign:int,limit:double,shift:double>>")
+    none = F.array().cast("array<struct<sign:int,above:double,limit:double,shift:double>>")
     return _round(sizes, now.select("source", "source_size", "target", "mean", "multiplier", none.alias("moves")), few, p), few
 
 
@@ -118,17 +118,21 @@ def _round(sizes: DataFrame, per: DataFrame, few: bool, p: Params) -> DataFrame:
     """Add the moves of each source: which documents get one copy more, or less, than their rounded rate.
 
     In the first move those nearest to gaining (or losing) a copy change, as long as the words stay within the target.
-    In the next ones further documents no larger than what is still missing change, in an order by hash.
+    In the next ones further documents no larger than what is still missing change, in an order by hash. In the last
+    one a single larger document changes where that leaves less missing, on the other side.
     """
     sizes = sizes.where("size > 0")
-    for turn in range(p.moves):
+    for turn in range(p.moves + 1):
+        last = turn == p.moves
         rows = _per_source(sizes, per, few, "inner").withColumn("copies", copies(p))
         have = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("have"))
         state = _per_source(per, have, few).withColumn("missing", F.col("target") - F.coalesce("have", F.lit(0))).drop("have")
         state = materialise(state.withColumn("sign", F.signum("missing").cast("int")).withColumn("low", F.lit(0.0)).withColumn("taken", F.lit(0.0)), "round")
         rows = _per_source(sizes, state, few, "inner").withColumn("copies", copies(p))
         movable = (F.col("copies") == _rounded(p)) & F.when(F.col("sign") > 0, F.col("copies") < p.most).otherwise((F.col("sign") < 0) & (F.col("copies") >= 1))
-        if turn:
+        if last:
+            movable &= (F.col("size") > F.abs("missing")) & (F.col("size") < 2 * F.abs("missing"))
+        elif turn:
             movable &= F.col("size") <= F.abs("missing")
         rows = materialise(rows.where(movable).select("source", "size", _place(turn, p, F.col("sign")).alias("at")), "movable")
         width = 1.0
@@ -143,8 +147,12 @@ def _round(sizes: DataFrame, per: DataFrame, few: bool, p: Params) -> DataFrame:
             after = _per_source(state, edge, few)
             after = after.withColumn("low", F.when(F.col("cross").isNotNull(), F.col("low") + F.col("cross") * width).otherwise(F.col("low") + width * p.bins))
             state = materialise(after.withColumn("taken", F.col("taken") + F.coalesce("upto", F.lit(0))).drop("cross", "upto"), "round")
-        limit = F.abs("missing") if turn else F.lit(float("inf"))
-        move = F.struct("sign", limit.cast("double").alias("limit"), F.col("low").alias("shift"))
+        missing = F.abs("missing")
+        above = missing if last else F.lit(-1.0)
+        limit = 2 * missing - 0.5 if last else missing if turn else F.lit(float("inf"))
+        # The first document of the last round is larger than what is missing: its bin is the one that is crossed.
+        shift = F.col("low") + F.lit(width if last else 0.0)
+        move = F.struct("sign", above.cast("double").alias("above"), limit.cast("double").alias("limit"), shift.alias("shift"))
         per = materialise(state.select("source", "source_size", "target", "mean", "multiplier", F.concat("moves", F.array(move)).alias("moves")), "mix")
     return per
 
@@ -168,10 +176,10 @@ def copies(p: Params) -> Column:
     """Copies of a document, from its size and its source's mean, multiplier and moves. At most one move applies."""
     base = _rounded(p)
     moved = F.lit(0)
-    for turn in reversed(range(p.moves)):
+    for turn in reversed(range(p.moves + 1)):
         m = F.try_element_at("moves", F.lit(turn + 1))
         room = F.when(m["sign"] > 0, base < p.most).otherwise((m["sign"] < 0) & (base >= 1))
-        applies = m.isNotNull() & room & (F.col("size") <= m["limit"]) & (_place(turn, p, m["sign"]) < m["shift"])
+        applies = m.isNotNull() & room & (F.col("size") > m["above"]) & (F.col("size") <= m["limit"]) & (_place(turn, p, m["sign"]) < m["shift"])
         moved = F.when(applies, m["sign"]).otherwise(moved)
     return F.when(F.col("size") > 0, base + moved).otherwise(base).cast("int")
 
