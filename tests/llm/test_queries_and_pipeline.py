@@ -65,7 +65,8 @@ def test_stages(spark, sf):
     for r in mixed.collect():
         taken[r["source"]] += len(r["text"].split())
     want = brute_targets(sizes)
-    assert abs(sum(taken.values()) - sum(want.values())) <= 0.05 * sum(want.values())
+    # The one very long document comes whole or not at all.
+    assert abs(sum(taken.values()) - sum(want.values())) <= 0.05 * sum(want.values()) + len(LONG.split()) / 2
     assert max(collections.Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     packed = stage["pack"](spark, mixed, sf)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
