@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .graph import components, forest
 from .minhash import by_unit, in_chunks
@@ -37,9 +38,15 @@ class Params:
     chunk: int = 256
 
 
+def _components(vectors: DataFrame) -> F.Column:
+    """Single precision as it is (half the bytes to move), anything else as double; tasks compute in double precision."""
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    return F.col("embedding") if single else F.transform("embedding", lambda c: c.cast("double"))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, v): label not null; v without nulls or non-finite components, not all zero, as double."""
-    v = F.transform("embedding", lambda c: c.cast("double"))
+    """(vec_id, label, v): label not null; v without nulls or non-finite components, not all zero."""
+    v = _components(vectors)
     bad = F.exists(F.coalesce("v", F.array()), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
     return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda c: c != 0))
@@ -47,7 +54,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def _stack(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
     return m / np.linalg.norm(m / np.abs(m).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(m).max(axis=1, keepdims=True)
 
 
@@ -82,11 +89,11 @@ def near_duplicate_vectors(vectors: DataFrame, p: Params = Params()) -> DataFram
         seed = _stack(of.select("node", "v").limit(p.sample).orderBy("node").toArrow().column("v"))
         index = spark.sparkContext.broadcast(choose_pivots(seed, min(p.pivots, 64)))
         posted = materialise(_post(of, index, p), "postings")
-        units = in_chunks(posted, "list", p.chunk, ["node", "weight", "v", "mask", "last", "combo"])
+        units = in_chunks(posted, "list", p.chunk, ["node", "mask", "last", "combo"]).join(of.select("node", "weight", "v"), "node")
         found = materialise(units.repartition("unit").sortWithinPartitions("unit", "g", "i", "j").mapInArrow(_judge(p), "a long, b long, links long"), "links")
         edges.append(found.where("b is not null").select("a", "b"))
         counts.append(found.where("links > 0").select("a", "links"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.transform("embedding", lambda c: c.cast("double")).alias("v"))
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", _components(vectors).alias("v"))
     if not edges:
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     joined = edges[0]
@@ -124,13 +131,13 @@ def _post(classes: DataFrame, index, p: Params) -> DataFrame:
                 label = b.column("label_key").to_numpy().view(U64)
                 key = mix(combo.ravel() ^ mix(label[rows] + U64(17)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(b.column("node").to_numpy()[rows]), pa.array(b.column("weight").to_numpy()[rows]), b.column("v").take(pa.array(rows)), b.column("label_key").take(pa.array(rows)),
-                     pa.array(mask[rows].view(np.int64)), pa.array(sets.max(axis=2).ravel()), pa.array(combo.ravel().view(np.int64))],
-                    ["list", "node", "weight", "v", "label_key", "mask", "last", "combo"],
+                    [pa.array(key.view(np.int64)), pa.array(b.column("node").to_numpy()[rows]), pa.array(mask[rows].view(np.int64)), pa.array(sets.max(axis=2).ravel()), pa.array(combo.ravel().view(np.int64))],
+                    ["list", "node", "mask", "last", "combo"],
                 )
 
-    schema = "list long, node long, weight long, v array<double>, label_key long, mask long, last long, combo long"
-    return classes.select("node", "weight", "v", F.xxhash64("label").alias("label_key")).mapInArrow(run, schema).drop("label_key")
+    # The vectors themselves follow once the lists are cut, and only to lists of two or more.
+    schema = "list long, node long, mask long, last long, combo long"
+    return classes.select("node", "v", F.xxhash64("label").alias("label_key")).mapInArrow(run, schema)
 
 
 def _judge(p: Params):
