@@ -162,7 +162,8 @@ def _joined(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
 def families(reps: DataFrame, p: Params) -> DataFrame:
     """(node, component) of representatives whose signatures agree, over all buckets of all bands."""
     keys = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    full = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # As a table: then both sides of the join are plain exchanges, and a bucket of many documents can be split.
+    full = materialise(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "full-buckets")
     keys = materialise(keys.join(full, "bucket", "left_semi"), "buckets")
     nodes = keys.select("node").distinct()
     member = keys.join(reps.select(F.col("doc_id").alias("node"), "sig").join(nodes, "node", "left_semi"), "node")
