@@ -86,7 +86,7 @@ def near_duplicate_vectors(vectors: DataFrame, p: Params = Params()) -> DataFram
     edges, counts = [], []
     for r in classes.select("d").distinct().orderBy("d").collect():  # one pass for each dimension, of which there are few
         of = classes.where(F.col("d") == r["d"])
-        seed = _stack(of.select("node", "v").limit(p.sample).orderBy("node").toArrow().column("v"))
+        seed = _stack(of.select("node", "v").orderBy("node").limit(p.sample).toArrow().column("v"))  # ordered: reruns choose the same pivots
         index = spark.sparkContext.broadcast(choose_pivots(seed, min(p.pivots, 64)))
         posted = materialise(_post(of, index, p), "postings")
         units = in_chunks(posted, "list", p.chunk, ["node", "mask", "last", "combo"]).join(of.select("node", "weight", "v"), "node")
