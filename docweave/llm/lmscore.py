@@ -1,13 +1,18 @@
 """Language-model scores by cross-entropy difference.
 
-A model of target texts and one of background texts share one vocabulary, one smoothing and one table layout: a word is
-a slot of a hashed vocabulary, a bigram a slot of a hashed table of pairs. The number of slots is a parameter, so the
-models have a proven size whatever the corpus; frequent words and pairs decide their slots' counts.
-
-``p(w | h) = (c(h, w) + mu * p(w)) / (c(h) + mu)`` with ``p(w) = (c(w) + alpha) / (n + alpha * slots)`` for both. A text's
-score is its mean loss per token under the target model minus that under the background model, in bits: the lower, the
-more it is like the target. Counts are taken over all texts: each task counts into sparse slices of the tables, which are
-added in two levels, so that no task receives more than about the square root of the number of tasks.
+A model of target texts and one of background texts share one vocabulary (all words of the corpus) and one smoothing:
+``p(w | h) = (c(h, w) + mu * p(w)) / (c(h) + mu)`` with ``p(w) = (c(w) + alpha) / (n + alpha * v)`` for both, v the number of
+distinct words. A text's score is its mean loss per token under the target model minus that under the background model,
+in bits: the lower, the more it is like the target.
+
+Words and pairs are known by 64-bit hashes and counted apart, so the tables grow with the corpus; no process holds them whole:
+
+1. Texts are cut into chunks of about ``tokens`` tokens. A chunk sends its distinct words and pairs with their counts to
+   buckets of the hash, once each, so a frequent one is one entry per chunk.
+2. A bucket adds up what it got and answers each chunk with the corpus counts of the chunk's own words and pairs.
+3. The chunk's texts meet the answers of all buckets and are scored.
+
+The number of buckets follows the size of the texts.
 """
 
 from __future__ import annotations
@@ -28,35 +33,35 @@ SLICE = 1 << 14
 
 @dataclass(frozen=True)
 class Params:
-    words: int = 1 << 18
+    words: int = 1 << 18  # slots of the overview by ``counts``; scores have no slots
     pairs: int = 1 << 20
+    tokens: int = 1 << 21  # tokens of a chunk, about, or one longer text
+    bucket: int = 8 << 20  # bytes of text for each bucket of words and pairs, about
     mu: float = 16.0
     alpha: float = 0.05
     salts: int = 16
     broadcast_rows: int = 1_000_000  # ids of target rows that may be sent to every executor, 16 bytes each
 
 
-def _slots(w: Words, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its vocabulary slot and the slot of the pair it ends; a text's first word follows a mark."""
+def _pairs(w: Words) -> np.ndarray:
+    """For each word the hash of the pair it ends; a text's first word follows a mark."""
     before = np.zeros(len(w.hash), U64)
     before[1:] = w.hash[:-1]
     first = np.zeros(len(w.hash), bool)
     first[w.bounds[:-1][w.counts > 0]] = True
     before[first] = 1
-    pair = mix(before * U64(0x9E3779B97F4A7C15) ^ w.hash)
-    return (w.hash & U64(p.words - 1)).astype(np.int64), (pair & U64(p.pairs - 1)).astype(np.int64)
+    return mix(before * U64(0x9E3779B97F4A7C15) ^ w.hash)
 
 
-def _history(w: Words, word: np.ndarray) -> np.ndarray:
-    """Slot of the word before each word; slot 0 of the mark that begins a text."""
-    h = np.zeros(len(word), np.int64)
-    h[1:] = word[:-1]
-    h[w.bounds[:-1][w.counts > 0]] = 0
-    return h
+def _slots(w: Words, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its vocabulary slot and the slot of the pair it ends."""
+    return (w.hash & U64(p.words - 1)).astype(np.int64), (_pairs(w) & U64(p.pairs - 1)).astype(np.int64)
 
 
 def counts(docs: DataFrame, p: Params = Params()) -> np.ndarray:
-    """(2, words + pairs + 1) counts of the background (row 0: all rows) and the target (row 1: rows with target true).
+    """An overview of fixed size, in slots that words and pairs share; scores don't use it.
+
+    (2, words + pairs + 1) counts of the background (row 0: all rows) and the target (row 1: rows with target true).
 
     ``docs`` is (text, target boolean). The last column holds the number of texts with words.
     """
@@ -117,45 +122,170 @@ def _row(part: int, salt: int, at: np.ndarray, own: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(data, ["part", "salt", "at", "background", "target"])
 
 
-class Model:
-    """Both models' tables in single precision."""
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of the numbers, all lowest ones first, so that the many zeros of the high ones are compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, the first from 0."""
+    return np.diff(keys, prepend=U64(0))
+
+
+class _Chunk:
+    """Texts of a chunk as (doc_id, text, target), and their distinct words and pairs."""
+
+    def __init__(self, parts: list[pa.RecordBatch], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.parts = parts
+        self.token_counts = [f[2] for f in found]
+        self.keys, self.at = [], []
+        for k in (0, 1):
+            keys, at = np.unique(np.concatenate([f[k] for f in found]), return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(at)
+        self.docs = np.concatenate(self.token_counts)
+        self.doc = np.repeat(np.arange(len(self.docs)), self.docs)
+        self.target = np.concatenate([x.column("target").fill_null(False).to_numpy(zero_copy_only=False).astype(bool) for x in parts])
+
+    def counts(self, k: int) -> np.ndarray:
+        """(2, keys) own counts of words (0) or pairs (1) in all texts and in the target."""
+        n = len(self.keys[k])
+        return np.stack([np.bincount(self.at[k], minlength=n), np.bincount(self.at[k][self.target[self.doc]], minlength=n)]).astype(np.int64)
+
+
+def _found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w = Words(*buffers(part.column("text")))
+    return w.hash, _pairs(w), w.counts
 
-    def __init__(self, found: np.ndarray, p: Params):
-        self.p = p
-        self.unigram, self.history, self.pair = [], [], []
-        for row in found:
-            words = row[: p.words].astype(np.float64)
-            history = words.copy()
-            history[0] += row[-1]  # the mark that begins a text
-            self.unigram.append(((words + p.alpha) / (words.sum() + p.alpha * p.words)).astype(np.float32))
-            self.history.append(history.astype(np.float32))
-            self.pair.append(row[p.words : p.words + p.pairs].astype(np.float32))
 
-    def losses(self, w: Words) -> list[np.ndarray]:
-        """Per word the loss in bits under the background and the target model."""
-        word, pair = _slots(w, self.p)
-        before = _history(w, word)
-        mu = np.float32(self.p.mu)
-        # Words that share a history's slot may take a pair beyond its count: a probability is at most 1.
-        return [-np.log2(np.minimum((self.pair[i][pair] + mu * self.unigram[i][word]) / (self.history[i][before] + mu), 1)) for i in (0, 1)]
+ASKED = "chunk long, bucket int, texts long, target_texts long, words int, keys binary, counts binary, own binary"
+ANSWERED = "chunk long, bucket int, vocabulary long, tokens long, target_tokens long, texts long, target_texts long, words int, counts binary, own binary"
+SCORED = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
 
 
-def score(docs: DataFrame, found: np.ndarray, p: Params = Params()) -> DataFrame:
-    """(doc_id, n_tokens, background_loss, target_loss, score) per row; losses and score are null for texts without words."""
-    sent = docs.sparkSession.sparkContext.broadcast(Model(found, p))
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [pa.field(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+
+def _asked(bits: int, p: Params):
+    """Chunks of the texts: a row of words and pairs for each of the 2^bits buckets, and one of the texts themselves."""
+
+    def rows(parts: list[pa.RecordBatch], found: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        c = _Chunk(parts, found)
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        apart = -1 - int(mix(np.array([chunk], U64))[0] >> U64(34))  # a group of its own, so that the texts of all chunks spread
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in parts:
+                out.write_batch(part)
+        yield _batch(ASKED, [(chunk, apart, 0, 0, 0, None, None, sink.getvalue().to_pybytes())])
+        edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
+        cut = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys in c.keys]
+        n = [c.counts(0), c.counts(1)]
+        texts, target_texts = int((c.docs > 0).sum()), int(((c.docs > 0) & c.target).sum())
+        for b in range(1 << bits):
+            own = [slice(cut[k][b], cut[k][b + 1]) for k in (0, 1)]
+            keys = np.concatenate([_steps(c.keys[k][own[k]]) for k in (0, 1)])
+            count = np.concatenate([n[k][i, own[k]] for i in (0, 1) for k in (0, 1)])
+            yield _batch(ASKED, [(chunk, b, texts if b == 0 else 0, target_texts if b == 0 else 0, own[0].stop - own[0].start, _planes(keys), _planes(count), None)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, found, tokens, number = [], [], 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(*buffers(part.column("text")))
-                loss = [np.bincount(w.doc, x, w.docs) / np.maximum(1, w.counts) for x in sent.value.losses(w)] if len(w.hash) else [np.zeros(w.docs)] * 2
-                none = w.counts == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(w.counts), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[1] - loss[0], mask=none)], ["doc_id", "n_tokens", "background_loss", "target_loss", "score"]
-                )
+                now = _found(part)
+                if parts and tokens + len(now[0]) > p.tokens:
+                    yield from rows(parts, found, number)
+                    parts, found, tokens, number = [], [], 0, number + 1
+                parts.append(part)
+                found.append(now)
+                tokens += len(now[0])
+        if parts:
+            yield from rows(parts, found, number)
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The rows of one bucket with the corpus counts of their words and pairs; a chunk's texts pass."""
+    rows = table.to_pylist()
+    if rows[0]["own"] is not None:
+        return pa.Table.from_batches([_batch(ANSWERED, [(r["chunk"], -1, 0, 0, 0, 0, 0, 0, None, r["own"]) for r in rows])])
+    steps, count = [_numbers(r["keys"], U64) for r in rows], [_numbers(r["counts"], np.int64).reshape(2, -1) for r in rows]
+    texts, target_texts = sum(r["texts"] for r in rows), sum(r["target_texts"] for r in rows)
+    totals, at, vocabulary, tokens = [], [], 0, (0, 0)
+    for k in (0, 1):
+        of = [slice(0, r["words"]) if k == 0 else slice(r["words"], None) for r in rows]
+        keys, where = np.unique(np.concatenate([np.cumsum(x[o], dtype=U64) for x, o in zip(steps, of, strict=True)]), return_inverse=True)
+        own = np.concatenate([c[:, o] for c, o in zip(count, of, strict=True)], axis=1)
+        total = np.zeros((2, len(keys)), np.int64)
+        for i in (0, 1):
+            np.add.at(total[i], where, own[i])
+        totals.append(total)
+        at.append(np.split(where, np.cumsum([len(x[o]) for x, o in zip(steps, of, strict=True)])[:-1]))
+        if k == 0:
+            vocabulary, tokens = len(keys), tuple(int(x) for x in total.sum(axis=1))
+    out = []
+    for j, r in enumerate(rows):
+        answer = np.concatenate([totals[k][i, at[k][j]] for i in (0, 1) for k in (0, 1)])
+        out.append((r["chunk"], r["bucket"], vocabulary, *tokens, texts, target_texts, r["words"], _planes(answer), None))
+    return pa.Table.from_batches([_batch(ANSWERED, out)])
 
-    schema = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
-    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+
+def _scored(buckets: int, p: Params):
+    """The texts of one chunk with the answers of all buckets, scored."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        if [r["bucket"] for r in rows] != list(range(-1, buckets)):
+            raise RuntimeError("a chunk of texts doesn't have one answer of each bucket")
+        parts = pa.ipc.open_stream(rows[0]["own"]).read_all().to_batches()
+        c = _Chunk(parts, [_found(x) for x in parts])
+        answers = rows[1:]
+        vocabulary, texts = sum(r["vocabulary"] for r in answers), [sum(r[n] for r in answers) for n in ("texts", "target_texts")]
+        tokens = [sum(r[n] for r in answers) for n in ("tokens", "target_tokens")]
+        counts = [_numbers(r["counts"], np.int64).reshape(2, -1) for r in answers]
+        known = [np.concatenate([x[:, : r["words"]] if k == 0 else x[:, r["words"] :] for x, r in zip(counts, answers, strict=True)], axis=1) for k in (0, 1)]
+        if [x.shape[1] for x in known] != [len(x) for x in c.keys]:
+            raise RuntimeError("answers belong to another cut of the texts")
+        word, pair = c.at
+        first = np.append(True, c.doc[1:] != c.doc[:-1])[: len(word)]
+        loss = []
+        for i in (0, 1):
+            single = (known[0][i] + p.alpha) / (tokens[i] + p.alpha * max(1, vocabulary))
+            history = np.empty(len(word))
+            history[1:] = known[0][i][word[:-1]]
+            history[first] = texts[i]  # the mark that begins a text
+            bits = np.log2(history + p.mu) - np.log2(known[1][i][pair] + p.mu * single[word])
+            loss.append(np.bincount(c.doc, bits, len(c.docs)) / np.maximum(1, c.docs))
+        none = c.docs == 0
+        ids = pa.concat_arrays([x.column("doc_id") for x in parts])
+        out = [ids, pa.array(c.docs.astype(np.int64)), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[1] - loss[0], mask=none)]
+        return pa.Table.from_arrays(out, [x.split()[0] for x in SCORED.split(", ")])
+
+    return run
+
+
+def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """(doc_id, n_tokens, background_loss, target_loss, score) per row of ``docs`` (doc_id, text, target boolean).
+
+    Losses and score are null for texts without words.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = max(1, (-(-size // p.bucket) - 1).bit_length()) if size else 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "target")
+    asked = text_batches(rows).mapInArrow(_asked(bits, p), ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
+    return answered.groupBy("chunk").applyInArrow(_scored(1 << bits, p), SCORED)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Params = Params()) -> DataFrame:
@@ -163,4 +293,4 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Params =
     ids = target_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
     ids = F.broadcast(ids) if small_enough(ids, p.broadcast_rows) else ids
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left")
-    return score(docs, counts(marked.select("text", F.col("__id").isNotNull().alias("target")), p), p)
+    return score(marked.select("doc_id", "text", F.col("__id").isNotNull().alias("target")), p)

@@ -301,6 +301,32 @@ def test_counts_cover_every_word(spark):
     assert found[:, -1].tolist() == [3, 1]
 
 
+def test_scores_equal_exact_counts_beyond_any_number_of_slots(spark):
+    rng = np.random.RandomState(5)
+    texts = [" ".join(f"w{k}" for k in rng.randint(0, 3000, 40)) for _ in range(300)] + ["w1", "", None, "w1 w1 w2 never"]
+    good = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
+    p = lmscore.Params(words=1 << 4, pairs=1 << 4, tokens=1500, bucket=1 << 12)
+    got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs(spark, texts).repartition(3), good, p).collect()}
+    single, pair, tokens = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for m in (0, 1) if i < 300 and i % 3 == 0 else (0,):
+            single[m].update(w)
+            pair[m].update(zip([None, *w], w, strict=False))
+            single[m][None] += bool(w)
+            tokens[m]["n"] += len(w)
+    v = len(single[0]) - 1
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        assert got[i]["n_tokens"] == len(w)
+        if w:
+            p_w = lambda m, x: (single[m][x] + p.alpha) / (tokens[m]["n"] + p.alpha * v)
+            loss = [np.mean([-np.log2((pair[m][h, x] + p.mu * p_w(m, x)) / (single[m][h] + p.mu)) for h, x in zip([None, *w], w, strict=False)]) for m in (0, 1)]
+            assert [got[i]["background_loss"], got[i]["target_loss"], got[i]["score"]] == pytest.approx([*loss, loss[1] - loss[0]], rel=1e-9)
+        else:
+            assert got[i]["score"] is None
+
+
 # --- op6 ------------------------------------------------------------------------------------------------------------
 
 
