@@ -35,6 +35,11 @@ class Params:
     order: int = 4  # at most 6: a context and its byte fit in 64 bits
     texts: int = 96  # training texts for each language, about
     longest: int = 32_768  # characters of a training text at most
+    apart: int = 1 << 18  # bytes of held-apart texts that each length of pieces is measured on, at most
+    stretch: int = 64  # bytes that are judged in one language; texts may hold several
+    least: int = 100  # pieces of a length that must be measured for a bound of its own
+    quantile: float = 0.9995  # of the pieces' bits a byte
+    margin: float = 1.5  # times that quantile is the bound
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -54,9 +59,44 @@ def _grams(data: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
     return key
 
 
+# A word with a digit, @ or = is a key, a number or an address in any language.
+ODD = r"(?<!\S)[^\s0-9@=]*+[0-9@=]\S*+"
+
+
+def plain(text: F.Column) -> F.Column:
+    """The text without its odd words; the whole text where no letter is left."""
+    words = F.regexp_replace(text, ODD, " ")
+    return F.when(words.rlike(r"\p{L}"), words).otherwise(text)
+
+
+def bounds(model: Model, texts: pa.Array, p: Params) -> dict[int, float]:
+    """For lengths of 2, 4, 8, ... bytes the bits a byte that a piece of that length in the corpus's languages hardly exceeds.
+
+    ``texts`` are plain texts the model hasn't learned from. A longer piece is never allowed more than a shorter one.
+    """
+    data, off = buffers(pc.utf8_lower(texts))
+    found: dict[int, float] = {}
+    k = 1
+    while model.languages and len(off) > 1 and (1 << k) <= int(np.diff(off).max()):
+        size, begins = 1 << k, []
+        for b, e in zip(off[:-1], off[1:], strict=True):
+            begins.append(np.arange(b, e - size + 1, size))
+        begin = np.concatenate(begins)
+        begin = begin[:: max(1, -(-len(begin) * size // p.apart))]
+        if len(begin) < p.least:
+            break
+        pieces = data[(begin[:, None] + np.arange(size)).reshape(-1)]
+        rate = model.stretches(pieces, np.arange(len(begin) + 1) * size, p.stretch)[1]
+        found[size] = min(float(np.quantile(rate, p.quantile)) * p.margin, found.get(size >> 1, np.inf))
+        k += 1
+    return found
+
+
 class Model:
     """Frozen tables: per length 1..order+1 the cost of each gram, and of escaping from each full context, by language."""
 
+    bounds: dict[int, float] = {}  # of bits a byte by length, where ``fit`` has measured them
+
     def __init__(self, texts: dict[str, pa.Array], order: int):
         self.languages = sorted(texts)
         self.order = order
@@ -101,11 +141,12 @@ class Model:
             out[lost] = shorter
         return out
 
-    def lengths(self, data: np.ndarray, off: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-        """Code length in bits of each text in each language."""
+    def lengths(self, data: np.ndarray, off: np.ndarray, step: int = 1 << 18, cuts: np.ndarray | None = None) -> np.ndarray:
+        """Code length in bits of each text, or of each stretch between ``cuts``, in each language."""
         keys = _grams(data, off, self.order + 1)
-        total = np.zeros((len(off) - 1, len(self.languages)))
-        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        cuts = off if cuts is None else cuts
+        total = np.zeros((len(cuts) - 1, len(self.languages)))
+        doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         for s in range(0, len(keys), step):
             bits = self.cost(keys[s : s + step], self.order + 1)
             d = doc[s : s + step]
@@ -113,6 +154,15 @@ class Model:
             total[d[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.float64)
         return total
 
+    def stretches(self, data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(code length of each text in each language, bits a byte with each stretch of ``size`` bytes in the language it costs least in)."""
+        each = -(-np.diff(off) // size)
+        of = np.repeat(np.arange(len(off) - 1), each)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+        bits = self.lengths(data, off, cuts=np.append(off[:-1][of] + place * size, off[-1]))
+        total = np.stack([np.bincount(of, b, len(off) - 1) for b in bits.T], axis=1)
+        return total, np.bincount(of, bits.min(axis=1), len(off) - 1) / np.maximum(1, np.diff(off))
+
 
 def fit(labelled: DataFrame, p: Params = Params()) -> Model:
     """Train on rows of (doc_id, text, lang); null texts, languages and ids are ignored.
@@ -131,14 +181,18 @@ def fit(labelled: DataFrame, p: Params = Params()) -> Model:
         own = picked.filter(pc.equal(picked.column("lang"), name)).column("text").combine_chunks()
         if len(own):
             texts[name] = own
-    return Model(texts, p.order)
+    model = Model(texts, p.order)
+    apart = rows.where((draw >= share) & (draw < 2 * share)).select(plain(F.col("text")).alias("text"))
+    model.bounds = bounds(model, apart.limit(2 * p.texts * max(1, len(sizes))).toArrow().column("text").combine_chunks(), p)
+    return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, stretch: int = 0) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score and bits_per_byte, which replace columns of those names.
 
     score is the posterior of the predicted language under a uniform prior; ``und`` (score 0) is for texts that are
-    null or without a letter, or if there is no language to choose from. Ties go to the language first in order.
+    null or without a letter, or if there is no language to choose from. Ties go to the language first in order. With ``stretch``, bits_per_byte
+    takes each stretch of so many bytes in the language it costs least in.
     """
     sent: Broadcast = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
@@ -155,12 +209,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 letter = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool)
                 if not model.languages:
                     letter &= False
-                bits = model.lengths(data, off) if model.languages else np.zeros((len(off) - 1, 1))
+                mixed = None
+                if stretch and model.languages:
+                    bits, mixed = model.stretches(data, off, stretch)
+                else:
+                    bits = model.lengths(data, off) if model.languages else np.zeros((len(off) - 1, 1))
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(bits)), best]
                 score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
                 pred = languages.take(pa.array(np.where(letter, best, len(languages) - 1)))
-                rate = least / np.maximum(1, np.diff(off))
+                rate = least / np.maximum(1, np.diff(off)) if mixed is None else mixed
                 kept = [part.column(i) for i in range(part.num_columns) if part.schema.names[i] != "__letter"]
                 yield pa.RecordBatch.from_arrays([*kept, pred, pa.array(np.where(letter, score, 0.0)), pa.array(np.where(letter, rate, 8.0))], [*(n for n in names if n != "__letter"), "lang_pred", "score", "bits_per_byte"])
 
@@ -170,10 +228,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return text_batches(inner).mapInArrow(run, schema)
 
 
-def reject_unknown(docs: DataFrame, model: Model, worst: float = 11.0) -> DataFrame:
-    """Rows whose language is determined and costs less than ``worst`` bits a byte; columns as before.
+def reject_unknown(docs: DataFrame, model: Model, unmeasured: float = 11.0) -> DataFrame:
+    """Rows whose language is determined and whose plain words cost no more than the corpus's languages; columns as before.
 
-    A short text with a key or a number in it may cost more than the 8 bits of a uniform code, as each odd byte pays its
-    escapes; 11 bits are reached only where hardly a byte is of any language.
+    Each stretch of a text counts in the language it costs least in, so a text in two known languages stays. The bound is that of the longest measured length that the plain text reaches. A corpus too small to measure any has
+    ``unmeasured`` for all.
     """
-    return predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") < worst)).select(*docs.columns)
+    bound = F.lit(max(model.bounds.values(), default=unmeasured))
+    for size, bits in sorted(model.bounds.items()):
+        bound = F.when(F.octet_length("text") >= size, F.lit(bits)).otherwise(bound)
+    judged = predict(docs.withColumn("__whole", F.col("text")).withColumn("text", plain(F.col("text"))), model, Params.stretch)
+    kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= bound))
+    return kept.withColumn("text", F.col("__whole")).select(*docs.columns)

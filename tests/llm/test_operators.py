@@ -226,6 +226,20 @@ def test_language_edge_cases(spark):
     assert {x["lang_pred"] for x in langid.predict(d, none).collect()} == {"und"}
 
 
+def test_unknown_languages_are_rejected(spark, sf):
+    known = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    model = langid.fit(known.where(~langid.held_out()))
+    foreign = ["Il gatto dorme sul tavolo della cucina e non vuole scendere per mangiare la cena", "A macska az asztalon alszik és nem akar lejönni vacsorázni a konyhában", "Kissa nukkuu keittiön pöydällä eikä halua tulla alas syömään illallista"]
+    own = [r["text"] for r in known.where("lang = 'en' and length(text) between 400 and 2000").orderBy("doc_id").limit(3).collect()]
+    other = next(r["text"] for r in known.where("lang = 'fr' and length(text) between 400 and 2000").orderBy("doc_id").limit(1).collect())
+    keep = [own[0], own[1][:40] + ' token = "dfd1944d2e84f15e89902e34b677eb5a8a7d42ab"', own[2][:300] + " " + other[:300]]
+    parts = [own[0][:200] + " " + (f * 6)[:400] for f in foreign]
+    got = {r["doc_id"]: r["text"] for r in langid.reject_unknown(docs(spark, keep + foreign + parts), model).collect()}
+    assert got == dict(enumerate(keep))
+    held = known.where(langid.held_out() & F.col("text").rlike(r"\p{L}"))
+    assert langid.reject_unknown(held, model).count() >= 0.99 * held.count()
+
+
 # --- op4 ------------------------------------------------------------------------------------------------------------
 
 
