@@ -463,6 +463,30 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert {"term"} == {s.split(":")[0] for s in next(r["spans"] for r in pii.digest(found).collect() if r["doc_id"] == 72).split(",")}
 
 
+def test_disclosing_terms_far_from_the_entity_and_short_ones(spark):
+    rng = np.random.RandomState(2)
+    fill = lambda n: " ".join(f"w{k}" for k in rng.randint(0, 500, n))
+    texts = [f"{fill(15)} write to boss@corp.example now {fill(40)} signed Quandle and {fill(5)} Li" for _ in range(12)] + [f"{fill(60)} ." for _ in range(60)] + ["Quandle and Li here"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(pii.find(docs(spark, texts), pii.Params(confidence=0.8, bits=2.0))).collect()}
+    assert clean[72] == "[TERM] and [TERM] here" or clean[72] == "[TERM] [TERM] [TERM] here"
+    assert all("Quandle" not in clean[i] and " Li" not in clean[i] for i in range(12)) and clean[20] == texts[20]
+
+
+def test_witnesses_are_groups_of_near_copies(spark):
+    rng = np.random.RandomState(3)
+    fill = lambda n: " ".join(f"w{k}" for k in rng.randint(0, 900, n))
+    header = "from the desk of the office in the old town hall contact Falcon desk at falco@y.example now"
+    letters = [f"{header} {fill(60)}" for _ in range(12)]
+    base = fill(80).split()
+    copies = [" ".join([*base[:60], "ask Morlock about me@copy.example", *base[60:79], f"v{i}"]) for i in range(12)]
+    texts = letters + copies + [fill(60) for _ in range(160)] + ["only Falcon here", "only Morlock here"]
+    p = pii.Params(confidence=0.8, bits=2.0)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(pii.find(docs(spark, texts), p)).collect()}
+    assert "Falcon" not in clean[184] and clean[185] == "only Morlock here"
+    more = {r["doc_id"]: r["text"] for r in pii.sanitise(pii.find(docs(spark, texts + [f"{letters[0]} x{i}" for i in range(20)]), p)).collect()}
+    assert "Falcon" not in more[184]
+
+
 def test_sanitise_overlaps(spark):
     r = pii.sanitise(pii.find(docs(spark, ["é +4111 1111 1111 1111 a@b.c1.2.3.4 end", None, "plain"]))).orderBy("doc_id").collect()
     assert r[0]["text"].startswith("é +[CARD] [EMAIL]") and r[0]["text"].endswith(" end") and "1111" not in r[0]["text"] and "@" not in r[0]["text"]
