@@ -148,6 +148,18 @@ def _vocabulary(docs: DataFrame, terms: DataFrame, p: Params) -> DataFrame:
     return each.join(side, "term").select("key", "term").distinct()
 
 
+def _term_counts(docs: DataFrame, terms: DataFrame, p: Params) -> DataFrame:
+    """(term, n_t): the number of distinct texts with each of ``terms``. Only texts that occur twice are dealt out by text and term."""
+    side = F.broadcast(terms) if small_enough(terms, p.broadcast_rows) else terms
+    rows = docs.where("text is not null").select("text", F.xxhash64("text").alias("key"))
+    twice = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    twice = F.broadcast(twice) if small_enough(twice, p.broadcast_rows) else twice
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
+    once = rows.join(twice, "key", "left_anti").select(words).join(side, "term").groupBy("term").agg(F.count("*").alias("n"))
+    more = rows.join(twice, "key", "left_semi").select("key", words).join(side, "term").select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    return once.unionByName(more).groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, p: Params = Params()) -> DataFrame:
     """(term, entity, bits, confidence) of the terms that reveal an entity beyond the thresholds."""
     spans = _named(list(BASE), lambda k, _, x: F.concat(F.lit(f"{k}:"), F.lower(x["value"])))
@@ -170,7 +182,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, p: Params = Params()) ->
     pairs = materialise(both.where(F.col("n_g") >= p.witnesses).select("entity", "term", "n_te"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", "entity", F.lit(0.0).alias("bits"), F.lit(0.0).alias("confidence"))
-    where = materialise(_vocabulary(docs, pairs.select("term").distinct(), p).groupBy("term").agg(F.count("*").alias("n_t")), "vocabulary")
+    where = materialise(_term_counts(docs, pairs.select("term").distinct(), p), "vocabulary")
     n = docs.where("text is not null").select(F.xxhash64("text").alias("key")).distinct().count()
     scored = pairs.join(where, "term").join(side, "entity")
     confidence = F.col("n_te") / F.col("n_t")
