@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import text_batches
+from .scratch import apart, materialise, text_batches, together
 from .textops import U64, VecMap, buffers, slices
 
 UNDETERMINED = "und"
@@ -33,8 +33,8 @@ SCHEMA = "lang_pred string, score double, bits_per_byte double"
 @dataclass(frozen=True)
 class Params:
     order: int = 4  # at most 6: a context and its byte fit in 64 bits
-    texts: int = 96  # training texts for each language, about
-    longest: int = 32_768  # characters of a training text at most
+    texts: int = 96  # training texts for each language
+    longest: int = 32_768  # characters that a training text gives at most: a longer one a stretch of so many from a place by hash
     apart: int = 1 << 18  # bytes of held-apart texts that each length of pieces is measured on, at most
     stretch: int = 64  # bytes that are judged in one language; texts may hold several
     least: int = 100  # pieces of a length that must be measured for a bound of its own
@@ -165,25 +165,24 @@ class Model:
 
 
 def fit(labelled: DataFrame, p: Params = Params()) -> Model:
-    """Train on rows of (doc_id, text, lang); null texts, languages and ids are ignored.
+    """Train on rows of (doc_id, text, lang); null or empty texts, null languages and ids are ignored.
 
-    A language gives about ``texts`` texts of at most ``longest`` characters, chosen by a hash of the id, whole.
+    A language gives ``texts`` texts, or all it has, in order of a hash of their ids, those up to ``longest`` characters
+    first. As many more measure the bounds of ``reject_unknown``. Equal rows count once.
     """
-    rows = labelled.where("lang is not null and doc_id is not null and length(text) between 1 and %d" % p.longest)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(p.texts / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(draw < share).select("doc_id", "lang", "text").limit(2 * p.texts * max(1, len(sizes))).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    texts = {}
-    for name in sizes:
-        own = picked.filter(pc.equal(picked.column("lang"), name)).column("text").combine_chunks()
-        if len(own):
-            texts[name] = own
+    rows = labelled.where("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
+    w = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "key")
+    # Ids alone are put in order: a task passes on no more of them than a language needs.
+    ids = rows.select("doc_id", "lang", "key", (F.length("text") > p.longest).alias("long")).distinct()
+    chosen = materialise(ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * p.texts).drop("long"), "training")
+    place = F.pmod(F.xxhash64("doc_id"), F.length("text") - p.longest)
+    piece = F.when(F.length("text") > p.longest, F.substr("text", (place + 1).cast("int"), F.lit(p.longest))).otherwise(F.col("text"))
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("lang", "n", piece.alias("text")).dropDuplicates(["lang", "n"])
+    found = found.select("lang", "n", "text", plain(F.col("text")).alias("plain")).toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
+    learned = found.filter(pc.less_equal(found.column("n"), p.texts))
+    texts = {name: learned.filter(pc.equal(learned.column("lang"), name)).column("text").combine_chunks() for name in pc.unique(learned.column("lang")).to_pylist()}
     model = Model(texts, p.order)
-    apart = rows.where((draw >= share) & (draw < 2 * share)).select(plain(F.col("text")).alias("text"))
-    model.bounds = bounds(model, apart.limit(2 * p.texts * max(1, len(sizes))).toArrow().column("text").combine_chunks(), p)
+    model.bounds = bounds(model, found.filter(pc.greater(found.column("n"), p.texts)).column("plain").combine_chunks(), p)
     return model
 
 
@@ -231,12 +230,14 @@ def predict(docs: DataFrame, model: Model, stretch: int = 0) -> DataFrame:
 def reject_unknown(docs: DataFrame, model: Model, unmeasured: float = 11.0) -> DataFrame:
     """Rows whose language is determined and whose plain words cost no more than the corpus's languages; columns as before.
 
-    Each stretch of a text counts in the language it costs least in, so a text in two known languages stays. The bound is that of the longest measured length that the plain text reaches. A corpus too small to measure any has
-    ``unmeasured`` for all.
+    Each stretch of a text counts in the language it costs least in, so a text in two known languages stays. The bound is
+    that of the longest measured length that the plain text reaches. A corpus too small to measure any has ``unmeasured``
+    for all.
     """
     bound = F.lit(max(model.bounds.values(), default=unmeasured))
     for size, bits in sorted(model.bounds.items()):
         bound = F.when(F.octet_length("text") >= size, F.lit(bits)).otherwise(bound)
-    judged = predict(docs.withColumn("__whole", F.col("text")).withColumn("text", plain(F.col("text"))), model, Params.stretch)
+    rows = apart(docs, "text").withColumn("__whole", F.col("text")).withColumn("text", plain(F.col("text")))
+    judged = predict(rows, model, Params.stretch)
     kept = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= bound))
-    return kept.withColumn("text", F.col("__whole")).select(*docs.columns)
+    return together(kept.withColumn("text", F.col("__whole")), docs, "text")

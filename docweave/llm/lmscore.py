@@ -28,18 +28,13 @@ from pyspark.sql import functions as F
 from .scratch import materialise, small_enough, text_batches
 from .textops import U64, Words, buffers, mix, slices
 
-SLICE = 1 << 14
-
 
 @dataclass(frozen=True)
 class Params:
-    words: int = 1 << 18  # slots of the overview by ``counts``; scores have no slots
-    pairs: int = 1 << 20
     tokens: int = 1 << 21  # tokens of a chunk, about, or one longer text
     bucket: int = 8 << 20  # bytes of text for each bucket of words and pairs, about
     mu: float = 16.0
     alpha: float = 0.05
-    salts: int = 16
     broadcast_rows: int = 1_000_000  # ids of target rows that may be sent to every executor, 16 bytes each
 
 
@@ -53,75 +48,6 @@ def _pairs(w: Words) -> np.ndarray:
     return mix(before * U64(0x9E3779B97F4A7C15) ^ w.hash)
 
 
-def _slots(w: Words, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """For each word its vocabulary slot and the slot of the pair it ends."""
-    return (w.hash & U64(p.words - 1)).astype(np.int64), (_pairs(w) & U64(p.pairs - 1)).astype(np.int64)
-
-
-def counts(docs: DataFrame, p: Params = Params()) -> np.ndarray:
-    """An overview of fixed size, in slots that words and pairs share; scores don't use it.
-
-    (2, words + pairs + 1) counts of the background (row 0: all rows) and the target (row 1: rows with target true).
-
-    ``docs`` is (text, target boolean). The last column holds the number of texts with words.
-    """
-    size = p.words + p.pairs + 1
-    parts = -(-size // SLICE)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, parts * SLICE), np.int64)
-        seen = False
-        for batch in batches:
-            for part in slices(batch, "text"):
-                w = Words(*buffers(part.column("text")))
-                if not len(w.hash):
-                    continue
-                seen = True
-                word, pair = _slots(w, p)
-                target = part.column("target").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-                of = target[w.doc]
-                np.add.at(total[0], word, 1)
-                np.add.at(total[0], pair + p.words, 1)
-                np.add.at(total[1], word[of], 1)
-                np.add.at(total[1], pair[of] + p.words, 1)
-                total[0, size - 1] += (w.counts > 0).sum()
-                total[1, size - 1] += ((w.counts > 0) & target).sum()
-        if seen:
-            salt = int(np.random.RandomState(int(total[0].sum() % (1 << 31))).randint(p.salts))
-            for k in range(parts):
-                own = total[:, k * SLICE : (k + 1) * SLICE]
-                at = np.flatnonzero(own[0])
-                if len(at):
-                    yield _row(k, salt, at, own)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, at, b, t in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "background", "target")), strict=True):
-                own = sums.setdefault(k, np.zeros((2, SLICE), np.int64))
-                i = np.frombuffer(at, np.uint16)
-                own[0, i] += np.frombuffer(b, np.int64)
-                own[1, i] += np.frombuffer(t, np.int64)
-        for k, own in sums.items():
-            yield _row(k, 0, np.flatnonzero(own[0]), own)
-
-    schema = "part int, salt int, at binary, background binary, target binary"
-    partial = text_batches(docs.select("text", "target")).mapInArrow(count, schema)
-    once = partial.repartition("part", "salt").mapInArrow(add, schema)
-    twice = materialise(once.repartition("part").mapInArrow(add, schema), "ngrams")
-    out = np.zeros((2, parts * SLICE), np.int64)
-    for r in twice.toLocalIterator():  # at most ``parts`` rows
-        i = np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["part"] * SLICE
-        out[0, i] = np.frombuffer(r["background"], np.int64)
-        out[1, i] = np.frombuffer(r["target"], np.int64)
-    return out[:, :size]
-
-
-def _row(part: int, salt: int, at: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-    data = [pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), own[0, at], own[1, at]))]
-    return pa.RecordBatch.from_arrays(data, ["part", "salt", "at", "background", "target"])
-
-
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of the numbers, all lowest ones first, so that the many zeros of the high ones are compressed."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
@@ -289,7 +215,12 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Params = Params()) -> DataFrame:
-    """Score every row of ``docs`` (doc_id, text) against a background of all rows and a target of the rows in ``target_ids``."""
+    """Score every row of ``docs`` (doc_id, text) against a background of all rows and a target of the rows in ``target_ids``.
+
+    Other columns are ignored. A null text or one without words has null losses and score and counts for neither model; a
+    null id is scored but never a target. Repeated rows are counted and scored each, all rows of a target id are targets,
+    and repeated target ids count once. Without targets the target model is the smoothing alone. No rows give no rows.
+    """
     ids = target_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
     ids = F.broadcast(ids) if small_enough(ids, p.broadcast_rows) else ids
     marked = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left")

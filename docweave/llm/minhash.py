@@ -1,16 +1,20 @@
 """Near-duplicate documents by SuperMinHash signatures, banding, exact verification and component grouping.
 
 1. One pass over the texts gives each document's shingle-set size, a 128-bit digest of the set and its
-   signature. Documents with equal sets form one class; only the class's smallest id goes on.
-2. Representatives that share a band meet in blocks of bounded size; signatures that agree in at least
-   ``agree`` of the slots join them to a family (a spanning forest per block, never all pairs).
-3. Within a family, blocks of representatives get their full shingle sets again, from the texts, and exact
-   intersection sizes decide the links. Each block returns a spanning forest of its links.
+   signature. Documents with equal sets form one class, which goes on as one node.
+2. Nodes that share a band meet in blocks of bounded size; signatures that agree in at least ``agree`` of
+   the slots join them to a family (a spanning forest per block, never all pairs).
+3. Nodes of a family get their full shingle sets again, from the texts, and exact intersection sizes decide
+   the links. A family of at most ``unit`` nodes is compared in one task. In a larger one each node is first
+   compared with the node whose signature agrees best; what these links join is one part, and only nodes
+   outside the family's largest part are then compared with all others. A link within a part changes no
+   component, so none is lost, and a family of copies of one text costs its size, not its square.
 4. Components of links, then members of classes, give every document its smallest reachable id.
 
 A large bucket or family is dealt out as pairs of chunks, so no task holds an unbounded group. Bands and
 ``agree`` leave a pair of similarity 0.8 a chance of about 1e-4 to be missed; no link is ever assumed.
-Null or wordless texts have an empty set and link with nothing. Repeated ids are one document.
+Null or wordless texts have an empty set and link with nothing. An id with several texts is one document
+for each text, so reruns agree; equal rows are alike.
 """
 
 from __future__ import annotations
@@ -36,7 +40,9 @@ class Params:
     bands: int = 25
     rows: int = 5
     agree: float = 0.62
-    chunk: int = 512
+    chunk: int = 512  # signatures of a block
+    unit: int = 128  # shingle sets of a block
+    crowd: int = 64  # nodes of a block of signatures from which on each node's best partner is noted
     broadcast_rows: int = 1_000_000  # 16 bytes each: ids that may be sent to every executor
 
     @property
@@ -75,11 +81,15 @@ def signature(values: np.ndarray, slots: int) -> np.ndarray:
     return best
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sig binary"
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """One row per document row: set size, set digest, band keys and 16-bit slots of the signature."""
+    """One row per document row: hash of the text, set size, set digest, band keys and 16-bit slots of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(p.bands).astype(U64) * U64(0xA0761D6478BD642F)
@@ -93,7 +103,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                     if not len(own):
                         digest.append(None), bands.append([]), sig.append(None)
                         continue
-                    d = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    d = _digest(own)
                     if d not in known:
                         bits = mix(signature(own, p.slots).view(U64))
                         key = bits.reshape(p.bands, p.rows)
@@ -103,11 +113,11 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                         known[d] = mixed.view(np.int64), (bits & U64(0xFFFF)).astype(np.uint16).tobytes()
                     digest.append(d), bands.append(known[d][0]), sig.append(known[d][1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "bands", "sig"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "digest", "bands", "sig"],
                 )
 
-    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, SKETCH)
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))).mapInArrow(run, SKETCH)
 
 
 def in_chunks(members: DataFrame, key: str, chunk: int, columns: list[str]) -> DataFrame:
@@ -159,14 +169,18 @@ def _joined(node: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return ids[ids != root], root[ids != root]
 
 
-def families(reps: DataFrame, p: Params) -> DataFrame:
-    """(node, component) of representatives whose signatures agree, over all buckets of all bands."""
-    keys = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+def families(nodes: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """((node, component), (node, partner)): nodes whose signatures agree, over all buckets of all bands, and of nodes in
+    crowded buckets the one that agrees best.
+
+    ``nodes`` is (node, bands, sig).
+    """
+    keys = nodes.select("node", F.explode("bands").alias("bucket"))
     # As a table: then both sides of the join are plain exchanges, and a bucket of many documents can be split.
     full = materialise(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "full-buckets")
     keys = materialise(keys.join(full, "bucket", "left_semi"), "buckets")
-    nodes = keys.select("node").distinct()
-    member = keys.join(reps.select(F.col("doc_id").alias("node"), "sig").join(nodes, "node", "left_semi"), "node")
+    met = keys.select("node").distinct()
+    member = keys.join(nodes.select("node", "sig").join(met, "node", "left_semi"), "node")
     units = in_chunks(member, "bucket", p.chunk, ["node", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,31 +190,43 @@ def families(reps: DataFrame, p: Params) -> DataFrame:
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), p.slots)
             left = np.flatnonzero(side == 0) if side.any() else np.arange(len(node))
             right = np.flatnonzero(side == 1) if side.any() else left
-            a, b = [], []
+            a, b, same = [], [], []
             for x in left:
-                hit = right[(sig[right] == sig[x]).sum(axis=1) >= least]
-                hit = hit[hit != x]
-                if len(hit):
-                    a.append(np.full(len(hit), x)), b.append(hit)
+                agree = (sig[right] == sig[x]).sum(axis=1)
+                hit = (agree >= least) & (right != x)
+                if hit.any():
+                    a.append(np.full(hit.sum(), x)), b.append(right[hit]), same.append(agree[hit])
             if a:
-                yield from _edges(*([v] for v in _joined(node, np.concatenate(a), np.concatenate(b))))
+                x, y, agree = np.concatenate(a), np.concatenate(b), np.concatenate(same)
+                high, low = _joined(node, x, y)
+                yield _rows(high, low, np.zeros(len(high), np.int64))
+                if len(node) >= p.crowd:
+                    x, y, agree = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([agree, agree])
+                    order = np.lexsort((node[y], -agree, x))
+                    first = order[np.append(True, np.diff(x[order]) > 0)]
+                    yield _rows(node[x[first]], node[y[first]], agree[first])
 
-    edges = units.repartition("unit").sortWithinPartitions("unit", "g", "i", "j").mapInArrow(run, EDGES)
-    return components(materialise(edges, "candidates"))
+    found = materialise(units.repartition("unit").sortWithinPartitions("unit", "g", "i", "j").mapInArrow(run, "a long, b long, agree long"), "candidates")
+    partner = found.where("agree > 0").groupBy(F.col("a").alias("node")).agg(F.max(F.struct("agree", (-F.col("b")).alias("b"))).alias("x"))
+    return components(found.where("agree = 0").select("a", "b")), partner.select("node", (-F.col("x.b")).alias("partner"))
+
+
+def _rows(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], ["a", "b", "agree"])
 
 
 def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
-    """(node, shingles): the sorted 64-bit shingle set of each document, as bytes."""
+    """(doc_id, digest, shingles): the sorted 64-bit shingle set of each document, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(*buffers(part.column("text")))
                 value, at = distinct_by_doc(*shingles(w, p.words), w.docs)
-                rows = [value[at[i] : at[i + 1]].tobytes() for i in range(w.docs)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(rows, pa.binary())], ["node", "shingles"])
+                rows = [value[at[i] : at[i + 1]] for i in range(w.docs)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_digest(x) for x in rows], pa.binary()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, shingles binary")
 
 
 def exact_links(sets: list[np.ndarray], side: np.ndarray, numerator: int, slab: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -229,14 +255,8 @@ def exact_links(sets: list[np.ndarray], side: np.ndarray, numerator: int, slab:
     return (x[x < y], y[x < y]) if not side.any() else (x, y)
 
 
-def verified(docs: DataFrame, family: DataFrame, p: Params) -> DataFrame:
-    """Edges (a, b): in each block of each family a spanning forest of the links confirmed on full sets."""
-    family = family.withColumnRenamed("component", "family")
-    ids = family.select("node")
-    ids = F.broadcast(ids) if small_enough(ids, p.broadcast_rows) else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi").dropDuplicates(["node"])
-    member = family.join(shingle_sets(texts, p), "node")
-    units = in_chunks(family, "family", p.chunk, ["node"]).join(member.select("node", "shingles"), "node")
+def _by_blocks(p: Params):
+    """Edges of each block of sets: a spanning forest of the links confirmed on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_unit(batches):
@@ -246,27 +266,118 @@ def verified(docs: DataFrame, family: DataFrame, p: Params) -> DataFrame:
             if len(x):
                 yield from _edges(*([v] for v in _joined(node, x, y)))
 
-    return units.repartition("unit").sortWithinPartitions("unit", "g", "i", "j").mapInArrow(run, EDGES)
+    return run
+
+
+def _by_pairs(p: Params):
+    """Edges of those pairs of sets (a, b, x, y) that meet the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in ("x", "y"))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked[i] = 100 * common >= p.numerator * (len(x) + len(y) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(linked))
+
+    return run
+
+
+def _outsiders(family: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
+    """(unit, g, i, j, side, node): blocks that compare each node outside its family's largest part with all of the family."""
+    part = components(edges).withColumnRenamed("component", "part")
+    labelled = materialise(family.join(part, "node", "left").select("node", "family", F.coalesce("part", "node").alias("part")), "parts")
+    size = labelled.groupBy("family", "part").agg(F.count("*").alias("n"))
+    core = size.groupBy("family").agg(F.max(F.struct("n", "part")).alias("core"), F.sum("n").alias("m")).select("family", "core.part", "m", (F.col("m") - F.col("core.n")).alias("s"))
+    core = materialise(core.where("s > 0").withColumnRenamed("part", "core"), "cores")
+    chunks = [F.ceil(F.col(c) / p.unit).cast("long").alias(k) for c, k in (("s", "ks"), ("m", "km"))]
+    rows = labelled.join(core.select("family", "core", *chunks), "family")
+
+    def dealt(of: DataFrame, side: int, own: str, other: str, i: str, j: str) -> DataFrame:
+        rows = of.withColumn(i, F.pmod(F.xxhash64("node"), F.col(own))).withColumn(j, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        return rows.select(F.xxhash64("family", "i", "j").alias("unit"), F.col("family").alias("g"), "i", "j", F.lit(side).alias("side"), "node")
+
+    return dealt(rows.where("part <> core"), 0, "ks", "km", "i", "j").unionByName(dealt(rows, 1, "km", "ks", "j", "i"))
+
+
+def verified(docs: DataFrame, classes: DataFrame, family: DataFrame, partner: DataFrame, p: Params) -> DataFrame:
+    """Edges (a, b) of confirmed links that connect what all links connect. ``classes`` is (node, digest, rep)."""
+    family = family.withColumnRenamed("component", "family")
+    sizes = materialise(family.groupBy("family").agg(F.count("*").alias("n")).where("n > 1"), "family-sizes")
+    wanted = materialise(classes.select("node", "digest", F.col("rep").alias("doc_id")).join(family, "node").join(sizes, "family"), "family-members")
+    ids = wanted.select("doc_id").distinct()
+    ids = F.broadcast(ids) if small_enough(ids, p.broadcast_rows) else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
+    # Rows of one id and text are one; an id's other texts have other digests and drop out.
+    sets = shingle_sets(texts, p).dropDuplicates(["digest", "doc_id"]).join(wanted, ["digest", "doc_id"])
+    sets = materialise(sets.select("node", "family", "n", "shingles"), "sets")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("g", "i", "j")]
+    one = sets.where(F.col("n") <= p.unit).select(F.col("family").alias("unit"), *zero, F.lit(0).alias("side"), "node", "shingles")
+    edges = one.repartition("unit").sortWithinPartitions("unit").mapInArrow(_by_blocks(p), EDGES)
+    large = wanted.where(F.col("n") > p.unit).select("node", "family")
+    if large.isEmpty():
+        return edges
+    own = sets.where(F.col("n") > p.unit)
+    pairs = partner.select(F.col("node").alias("a"), F.col("partner").alias("b"))
+    # Two nodes that name each other are compared once.
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    near = materialise(pairs.select("a", "b", "x", "y").mapInArrow(_by_pairs(p), EDGES), "partners")
+    units = _outsiders(large, near, p).join(own.select("node", "shingles"), "node")
+    far = units.repartition("unit").sortWithinPartitions("unit", "g", "i", "j").mapInArrow(_by_blocks(p), EDGES)
+    return edges.unionByName(near).unionByName(far)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, other columns ignored).
+    """doc_id, n_shingles, component_id, kept, group, text_key for every row of ``docs`` (doc_id, text, other columns ignored).
 
-    A null doc_id links with nothing and keeps a null component. kept is true for the smallest id of each component.
+    kept is true for rows of the smallest id of each component; component is that id, group a number of the component and
+    text_key the text's hash. A null doc_id links with nothing: it has a null component and is kept. Texts without words
+    are components of their own, with a null group.
     """
     sketch = materialise(sketches(docs, p), "sketches")
-    classes = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
-    classes = materialise(classes, "classes")
-    family = materialise(families(classes.select(F.col("rep").alias("doc_id"), "bands", "sig"), p), "families")
-    found = components(materialise(verified(docs, family, p), "links")) if not family.isEmpty() else None
-    of_class = classes.select("digest", "rep")
-    if found is not None:
-        found = found.select(F.col("node").alias("rep"), "component")
-        of_class = of_class.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    classes = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    family, partner = families(classes.select("node", "bands", "sig"), p)
+    family = materialise(family, "families")
+    of_class = classes.select("digest", "rep", "node")
+    if not family.isEmpty():
+        found = components(materialise(verified(docs, of_class, family, materialise(partner, "best"), p), "links"))
+        found = materialise(found.withColumnRenamed("component", "group"), "components")
+        least = found.join(of_class, "node").groupBy("group").agg(F.min("rep").alias("least"))
+        found = materialise(found.join(least, "group"), "least")
+        of_class = of_class.join(found, "node", "left").select("digest", F.coalesce("least", "rep").alias("component"), F.coalesce("group", "node").alias("group"))
     else:
-        of_class = of_class.select("digest", F.col("rep").alias("component"))
+        of_class = of_class.select("digest", F.col("rep").alias("component"), F.col("node").alias("group"))
     # A hot class is a hot key of this join: both sides are plain exchanges of tables, which adaptive execution splits.
     of_class = materialise(of_class, "classes")
-    out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    known = F.col("doc_id").isNotNull()
+    out = sketch.select("doc_id", "n_shingles", "digest", "text_key").join(of_class, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when(known, F.coalesce("component", "doc_id")).alias("component_id"), F.when(known, F.col("group")).alias("group"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group", "text_key")
+
+
+def without_copies(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` with one row of each group of near copies: of its smallest id, and of several texts or rows of that id one.
+
+    Rows with a null id or without words all stay.
+    """
+    found = materialise(near_duplicates(docs, p), "found").where("group is not null")
+    key = ["doc_id", "text_key"]
+    several = found.where("kept").groupBy("group").agg(F.min("text_key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    several = materialise(found.where("kept").join(several, "group").select(*key, (F.col("text_key") == F.col("first")).alias("stays")).distinct(), "repeated")
+    gone = materialise(found.where("not kept").select(*key).union(several.where("not stays").select(*key)).distinct(), "copies")
+
+    def side(rows: DataFrame) -> DataFrame:
+        # Up to a million keys go to every executor (16 MB), so that the texts needn't be dealt out again; more are joined.
+        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+        return F.broadcast(rows) if small_enough(rows, p.broadcast_rows) else rows
+
+    on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    left = docs.join(side(gone), on, "left_anti")
+    twice = several.where("stays").select(*key)
+    if twice.isEmpty():
+        return left
+    again = left.withColumn("__text_key", F.xxhash64("text")).join(side(twice), on, "left_semi").dropDuplicates(["doc_id", "__text_key"])
+    return left.join(side(twice), on, "left_anti").unionByName(again.drop("__text_key"))

@@ -2,12 +2,15 @@
 
 Each source has a token target. A document's rate r lies in [0, 2]; among all rates that meet the targets those nearest
 to 1 in bounded relative entropy are exponentially tilted, ``r = 2 / (1 + exp(-lambda * z))`` with z the document's size
-over its source's mean size (at least a tenth). The multipliers solve a convex dual with one equation per source: Newton
-steps, safeguarded by a bracket, on sums that are aggregated over all documents (once per distinct size and source).
+over its source's mean size (at least a tenth). The multipliers solve a convex dual with one equation per source. Its sums
+need a source's sizes only, so documents are counted by source and size first, and all Newton steps of a source, safeguarded
+by a bracket, fold over that table in one job. Sizes above 4096 that agree in their first 12 bits share an entry, with
+their own words and number: a source has 45,000 entries at most, whatever its documents.
 
 Rates become copies by a hash of the document's id. What rounding leaves over or short is settled per source: documents
-nearest to the next copy change, then smaller ones, up to thresholds found from two aggregated histograms each. A source's
-words end within a small document of its target. All of it is DataFrame aggregation; per-source numbers stay in a table.
+nearest to the next copy change, then smaller ones, up to thresholds found from one aggregated histogram each; what a
+threshold moves is known from the histogram. A source's words end within a small document of its target, or within a
+65536th of its words where that is more. All of it is DataFrame aggregation; per-source numbers stay in a table.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import drop, materialise, small_enough
+from .scratch import materialise, small_enough
 
 SIZE = r"[^\x20\x09-\x0D]+"
 
@@ -27,8 +30,10 @@ class Params:
     weights: tuple[int, ...] = (3, 1, 2)  # of the sources in order, repeating
     total: float = 1.5  # of all sizes
     most: float = 2.0  # a document's copies, and a source's target over its size
-    steps: int = 25
-    bins: int = 4096
+    steps: int = 120  # Newton steps or halvings at most; a dozen do
+    tolerance: float = 1e-6  # of a source's words, relative to its target
+    exact: int = 4096  # sizes with an entry of their own
+    bins: int = 1 << 16
     moves: int = 3  # rounds that settle what rounding leaves
     broadcast_rows: int = 100_000  # sources: a name and a few numbers each
 
@@ -82,36 +87,69 @@ def _per_source(rows: DataFrame, per: DataFrame, few: bool, how: str = "left") -
     return rows.join(side, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
+def _entry(p: Params) -> Column:
+    """The size under which a document's words are added up: its own, or above ``exact`` its first 12 bits."""
+    bits = F.floor(F.log2(F.col("size").cast("double"))).cast("int") - 11
+    high = F.when(F.col("size") > p.exact, F.call_function("shiftright", F.col("size"), bits))
+    return F.when(F.col("size") > p.exact, F.call_function("shiftleft", high, bits)).otherwise(F.col("size"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _multiplier(entries: Column, mean: Column, target: Column, p: Params) -> Column:
+    """(multiplier, done): Newton's method on the dual of one source, halving the bracket where a step would leave it.
+
+    ``entries`` are structs (n, tokens) of the source's sizes.
+    """
+
+    def sums(m: Column) -> Column:
+        def add(acc: Column, e: Column) -> Column:
+            def with_z(z: Column) -> Column:
+                return _let(_rate(z, m, p), lambda r: F.struct((acc["got"] + e["tokens"] * r).alias("got"), (acc["slope"] + e["tokens"] * z * r * (1 - r / p.most)).alias("slope")))
+
+            return _let(_tilt(e["tokens"] / e["n"], mean), with_z)
+
+        return F.aggregate(entries, F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("slope")), add)
+
+    def state(m: Column, low: Column, high: Column, done: Column) -> Column:
+        return F.struct(m.alias("m"), low.alias("low"), high.alias("high"), done.alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        def after(s: Column) -> Column:
+            gap = s["got"] - target
+            low, high = F.when(gap < 0, acc["m"]).otherwise(acc["low"]), F.when(gap > 0, acc["m"]).otherwise(acc["high"])
+            newton = F.when(s["slope"] > 0, acc["m"] - gap / s["slope"])
+            inside = newton.isNotNull() & (newton > low) & (newton < high)
+            done = (F.abs(gap) <= p.tolerance * (1 + target)) | (high - low < 1e-12)
+            return state(F.when(done, acc["m"]).when(inside, newton).otherwise((low + high) / 2), low, high, done)
+
+        return F.when(acc["done"], acc).otherwise(_let(sums(acc["m"]), after))
+
+    # Rates beyond 700 multiples of z are 0 or 2 in double precision.
+    start = state(F.lit(0.0), F.lit(-7000.0), F.lit(7000.0), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(p.steps)), start, step)
+
+
+MOVES = "array<struct<sign:int,above:double,limit:double,shift:double>>"
+
+
 def solve(sizes: DataFrame, p: Params = Params()) -> tuple[DataFrame, bool]:
     """(source, source_size, target, mean, multiplier, moves): what turns each document into copies; are sources few.
 
-    ``sizes`` is (doc_id, source, size).
+    ``sizes`` is (doc_id, source, size). A dual that isn't solved in ``steps`` steps fails the job.
     """
     per = materialise(targets(sizes, p).withColumn("mean", F.col("source_size") / F.col("n")), "sources")
     few = small_enough(per, p.broadcast_rows)
-    counts = materialise(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n_size")), "counts")
+    counts = sizes.where("size > 0").groupBy("source", _entry(p).alias("entry")).agg(F.count("*").cast("double").alias("n"), F.sum("size").cast("double").alias("tokens"))
+    entries = counts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("entry", "n", "tokens"))).alias("entries"))
     full = F.col("target") >= p.most * F.col("source_size") * (1 - 1e-12)
-    now = materialise(per.select("source", "source_size", "target", "mean", F.when(full, F.lit(float("inf"))).otherwise(F.lit(0.0)).alias("multiplier"), F.lit(-60.0).alias("low"), F.lit(600.0).alias("high")), "dual")
-    for _ in range(p.steps):
-        z = _tilt(F.col("size"), F.col("mean"))
-        r = _rate(z, F.col("multiplier"), p)
-        tokens = F.col("size") * F.col("n_size")
-        sums = _per_source(counts, now.where(F.col("multiplier") < float("inf")), few, "inner").groupBy("source").agg(F.sum(tokens * r).alias("got"), F.sum(tokens * z * r * (1 - r / p.most)).alias("slope"))
-        joined = _per_source(now, sums, few)
-        gap = F.col("got") - F.col("target")
-        low = F.when(gap < 0, F.col("multiplier")).otherwise(F.col("low"))
-        high = F.when(gap > 0, F.col("multiplier")).otherwise(F.col("high"))
-        newton = F.col("multiplier") - F.when(F.col("slope") > 0, gap / F.col("slope")).otherwise(F.lit(None))
-        step = F.when(newton.isNotNull() & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        done = F.isnull("got") | (F.abs(gap) <= 1e-6 * (1 + F.col("target")))
-        values = [F.when(done, F.col("multiplier")).otherwise(step).alias("multiplier"), F.when(done, F.col("low")).otherwise(low).alias("low"), F.when(done, F.col("high")).otherwise(high).alias("high")]
-        after = materialise(joined.select("source", "source_size", "target", "mean", *values, done.alias("done")), "dual")
-        drop(now)
-        now = after
-        if after.where(~F.col("done")).isEmpty():
-            break
-    none = F.array().cast("array<struct<sign:int,above:double,limit:double,shift:double>>")
-    return _round(sizes, now.select("source", "source_size", "target", "mean", "multiplier", none.alias("moves")), few, p), few
+    now = _per_source(per, entries, few).withColumn("dual", F.when(~full & F.col("entries").isNotNull(), _multiplier(F.col("entries"), F.col("mean"), F.col("target"), p)))
+    solved = F.when(full, F.lit(float("inf"))).when(F.col("entries").isNull(), F.lit(0.0)).when(F.col("dual.done"), F.col("dual.m")).otherwise(F.raise_error(F.lit("the dual of a source isn't solved")).cast("double"))
+    now = materialise(now.select("source", "source_size", "target", "mean", solved.alias("multiplier"), F.array().cast(MOVES).alias("moves")), "dual")
+    return _round(sizes, now, few, p), few
 
 
 def _round(sizes: DataFrame, per: DataFrame, few: bool, p: Params) -> DataFrame:
@@ -122,39 +160,31 @@ def _round(sizes: DataFrame, per: DataFrame, few: bool, p: Params) -> DataFrame:
     one a single larger document changes where that leaves less missing, on the other side.
     """
     sizes = sizes.where("size > 0")
+    have = _per_source(sizes, per, few, "inner").withColumn("copies", copies(p)).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("have"))
+    state = materialise(_per_source(per, have, few).withColumn("missing", F.col("target") - F.coalesce("have", F.lit(0))).drop("have"), "round")
     for turn in range(p.moves + 1):
-        last = turn == p.moves
-        rows = _per_source(sizes, per, few, "inner").withColumn("copies", copies(p))
-        have = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("have"))
-        state = _per_source(per, have, few).withColumn("missing", F.col("target") - F.coalesce("have", F.lit(0))).drop("have")
-        state = materialise(state.withColumn("sign", F.signum("missing").cast("int")).withColumn("low", F.lit(0.0)).withColumn("taken", F.lit(0.0)), "round")
-        rows = _per_source(sizes, state, few, "inner").withColumn("copies", copies(p))
-        movable = (F.col("copies") == _rounded(p)) & F.when(F.col("sign") > 0, F.col("copies") < p.most).otherwise((F.col("sign") < 0) & (F.col("copies") >= 1))
-        if last:
-            movable &= (F.col("size") > F.abs("missing")) & (F.col("size") < 2 * F.abs("missing"))
-        elif turn:
-            movable &= F.col("size") <= F.abs("missing")
-        rows = materialise(rows.where(movable).select("source", "size", _place(turn, p, F.col("sign")).alias("at")), "movable")
-        width = 1.0
-        for _ in range(2):
-            width /= p.bins
-            inside = _per_source(rows, state.select("source", "low"), few, "inner").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + width * p.bins))
-            bins = inside.groupBy("source", F.least(F.floor((F.col("at") - F.col("low")) / width), F.lit(p.bins - 1)).alias("bin")).agg(F.sum("size").alias("tokens"))
+        missing, sign = F.abs("missing"), F.signum("missing").cast("int")
+        base = _rounded(p)
+        open_ = (copies(p) == base) & F.when(F.col("missing") > 0, base < p.most).otherwise((F.col("missing") < 0) & (base >= 1))
+        rows = _per_source(sizes, state, few, "inner").withColumn("at", _place(turn, p, sign))
+        if turn == p.moves:
+            larger = rows.where(open_ & (F.col("size") > missing) & (F.col("size") < 2 * missing))
+            first = larger.groupBy("source").agg(F.min("at").alias("at"))
+            after = _per_source(state, first, few).withColumn("shift", F.coalesce(F.col("at") + 2.0**-41, F.lit(0.0))).withColumn("moved", F.lit(0.0))
+            above, limit = missing, 2 * missing - 0.5
+        else:
+            movable = rows.where(open_ if turn == 0 else open_ & (F.col("size") <= missing))
+            bins = movable.groupBy("source", F.least(F.floor(F.col("at") * p.bins), F.lit(p.bins - 1)).alias("bin")).agg(F.sum("size").alias("tokens"))
             w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            added = _per_source(bins.withColumn("upto", F.sum("tokens").over(w)), state.select("source", "missing", "taken"), few, "inner")
-            ok = F.col("taken") + F.col("upto") <= F.abs("missing")
-            edge = added.groupBy("source").agg(F.min(F.when(~ok, F.col("bin"))).alias("cross"), F.max(F.when(ok, F.col("upto"))).alias("upto"))
-            after = _per_source(state, edge, few)
-            after = after.withColumn("low", F.when(F.col("cross").isNotNull(), F.col("low") + F.col("cross") * width).otherwise(F.col("low") + width * p.bins))
-            state = materialise(after.withColumn("taken", F.col("taken") + F.coalesce("upto", F.lit(0))).drop("cross", "upto"), "round")
-        missing = F.abs("missing")
-        above = missing if last else F.lit(-1.0)
-        limit = 2 * missing - 0.5 if last else missing if turn else F.lit(float("inf"))
-        # The first document of the last round is larger than what is missing: its bin is the one that is crossed.
-        shift = F.col("low") + F.lit(width if last else 0.0)
-        move = F.struct("sign", above.cast("double").alias("above"), limit.cast("double").alias("limit"), shift.alias("shift"))
-        per = materialise(state.select("source", "source_size", "target", "mean", "multiplier", F.concat("moves", F.array(move)).alias("moves")), "mix")
-    return per
+            added = _per_source(bins.withColumn("upto", F.sum("tokens").over(w)), state.select("source", "missing"), few, "inner")
+            fits = F.col("upto") <= missing
+            edge = added.groupBy("source").agg(F.min(F.when(~fits, F.col("bin"))).alias("cross"), F.max(F.when(fits, F.col("upto"))).alias("moved"), F.lit(1).alias("any"))
+            after = _per_source(state, edge, few).withColumn("shift", F.when(F.col("any").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.col("cross") / F.lit(float(p.bins)), F.lit(1.0))))
+            above, limit = F.lit(-1.0), missing if turn else F.lit(float("inf"))
+        move = F.struct(sign.alias("sign"), above.cast("double").alias("above"), limit.cast("double").alias("limit"), F.col("shift").alias("shift"))
+        left = (F.col("missing") - F.signum("missing") * F.coalesce("moved", F.lit(0))).alias("missing")
+        state = materialise(after.select("source", "source_size", "target", "mean", "multiplier", F.concat("moves", F.array(move)).cast(MOVES).alias("moves"), left), "round")
+    return state.drop("missing")
 
 
 def _rounded(p: Params) -> Column:

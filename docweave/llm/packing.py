@@ -1,17 +1,18 @@
 """Best-fit packing of token pieces into sequences under several capacities.
 
-A bin has a vector of capacities: tokens, pieces, and attention cost (the sum of squared piece lengths). Pieces come
-longest first; each goes to the open bin, among those that fit it in every capacity, whose weighted residual vector
-would be shortest afterwards. Bins are listed by residual tokens, so the search begins at the tightest fit and stops as
-soon as the token term alone exceeds the best norm found: the choice is exact and rarely looks at more than a few bins.
-
-Pieces are dealt at random to cells of a bounded number of pieces, packed each in one task. A cell wastes part of one
-bin at most more than a single packing of all would, and any number of cells run side by side.
+A bin has a vector of capacities: tokens, pieces, and attention cost. The cost of a piece is the number of tiles of
+``tile`` by ``tile`` positions that block-diagonal attention computes for it, so a short piece costs more than its share of
+tokens: neither the second nor the third capacity follows from the first. Pieces come longest first; each goes to the
+open bin, among those that fit it in every capacity, whose weighted residual vector would be shortest afterwards, ties to
+the bin opened first. All open bins are compared at once, so the choice is exact.
+
+Pieces are dealt to cells of a bounded number of pieces, packed each in one task, by their number in a written table: a
+repeated or null id is no hot key. A cell wastes part of one bin at most more than a single packing of all would, and any
+number of cells run side by side.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,12 +36,17 @@ def vocabulary() -> str:
 @dataclass(frozen=True)
 class Params:
     tokens: int = 2048
-    pieces: int = 2048  # of a sequence
-    cost: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)  # of the residual tokens, pieces and cost, each as a share
+    pieces: int = 256  # of a sequence; 2048 could never bind
+    tile: int = 64
+    cost: int = 1028  # tiles of a sequence: one longest piece (1024) and four of a tile; short pieces alone could need 2048
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)  # of the residual tokens, pieces and cost, each as a share
     end_id: int = 0
     cell: int = 4096
 
+    def tiles(self, lengths):
+        """Attention cost of pieces of these lengths."""
+        return (-(-lengths // self.tile)) ** 2
+
 
 def token_pieces(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
     """(doc_id, piece, start, length, ids): a row's token ids and one end id, cut into pieces of at most ``tokens``.
@@ -71,53 +77,49 @@ def token_pieces(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
 
 
 def best_fit(lengths: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece. A piece that no capacity allows even alone raises ValueError."""
-    if len(lengths) and (lengths.max() > p.tokens or int(lengths.max()) ** 2 > p.cost or p.pieces < 1):
+    """(bin, offset) of each piece. A piece that no capacity allows even alone raises ValueError.
+
+    Pieces of one length come in the order given. A bin without room for the shortest piece leaves the comparison.
+    """
+    costs = p.tiles(lengths)
+    full = np.array([p.tokens, p.pieces, p.cost], float)
+    if len(lengths) and (lengths.max() > p.tokens or costs.max() > p.cost or p.pieces < 1):
         raise ValueError("a piece exceeds the capacities of an empty sequence")
-    wt, wd, wc = p.weights
-    wt, wd, wc = wt / p.tokens**2, wd / p.pieces**2, wc / p.cost**2
+    scale = np.array(p.weights) / full**2
+    least = np.array([lengths.min(), 1, costs.min()], float) if len(lengths) else full
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    residual: list[list[int]] = []
-    by_tokens: dict[int, list[int]] = {}
-    levels: list[int] = []
+    room, number = np.empty((3, len(lengths))), np.empty(len(lengths), np.int64)  # of the open bins, in order of opening
+    open_ = made = 0
     for i in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[i])
-        best, best_norm, best_at = -1, float("inf"), 0
-        for at in range(bisect_left(levels, size), len(levels)):
-            left = levels[at]
-            base = wt * (left - size) ** 2
-            if base >= best_norm:
-                break
-            for b in by_tokens[left]:
-                _, d, c = residual[b]
-                if d >= 1 and c >= size * size:
-                    norm = base + wd * (d - 1) ** 2 + wc * (c - size * size) ** 2
-                    if norm < best_norm:
-                        best, best_norm, best_at = b, norm, left
-        if best < 0:
-            best = len(residual)
-            residual.append([p.tokens, p.pieces, p.cost])
-        else:
-            by_tokens[best_at].remove(best)
-            if not by_tokens[best_at]:
-                del by_tokens[best_at], levels[bisect_left(levels, best_at)]
-        r = residual[best]
-        bins[i], offsets[i] = best, p.tokens - r[0]
-        r[0], r[1], r[2] = r[0] - size, r[1] - 1, r[2] - size * size
-        if r[0] > 0 and r[1] > 0:
-            if r[0] not in by_tokens:
-                by_tokens[r[0]] = []
-                insort(levels, r[0])
-            by_tokens[r[0]].append(best)
+        own = np.array([lengths[i], 1, costs[i]], float)
+        after = room[:, :open_] - own[:, None]
+        norm = scale @ (after * after)
+        norm[(after < 0).any(axis=0)] = np.inf
+        at = int(norm.argmin()) if open_ else 0
+        if not open_ or norm[at] == np.inf:
+            at, open_ = open_, open_ + 1
+            room[:, at], number[at] = full, made
+            made += 1
+        bins[i], offsets[i] = number[at], p.tokens - room[0, at]
+        room[:, at] -= own
+        if (room[:, at] < least).any():
+            room[:, at : open_ - 1] = room[:, at + 1 : open_]
+            number[at : open_ - 1] = number[at + 1 : open_]
+            open_ -= 1
     return bins, offsets
 
 
 def pack(pieces: DataFrame, p: Params = Params()) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and other columns) with sequence_id and offset. Reruns agree."""
+    """``pieces`` (doc_id, piece, length and other columns) with sequence_id and offset.
+
+    Pieces of one length are taken in order of id and number, equal ones as they come. Reruns over the same files agree.
+    No pieces give no rows.
+    """
     held = materialise(pieces, "pieces")
     n = held.count()
     cells = max(1, -(-n // p.cell))
-    dealt = held.withColumn("__cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(cells)).cast("long"))
+    # Rows of a written table keep their numbers when a task is run again.
+    dealt = held.withColumn("__cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("long"))
     names = held.columns
     schema = StructType([*held.schema.fields]).add("sequence_id", "long").add("offset", "long")
 
@@ -148,7 +150,11 @@ def pack(pieces: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, p: Params = Params()) -> DataFrame:
-    """Place of every piece of every row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Place of every piece of every row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Other columns are ignored. A null or empty text is one piece, the end id; repeated rows are packed each for itself;
+    a null id stays null. An empty table gives no rows.
+    """
     return pack(token_pieces(docs, path, p).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), p)
 
 

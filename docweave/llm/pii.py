@@ -47,20 +47,42 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def _matches(text: Column, pattern: Column) -> Column:
-    """All matches with code point bounds: the gaps between matches and the matches' lengths add up to them."""
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    pieces = F.arrays_zip(gaps.alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).cast("long").alias("pos"), _none().alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["gap"])
+PART = 512
+
+
+def _folded(items: Column, state: Column, of: str, step) -> Column:
+    """An array of one ``of`` for each item: ``step(state, item)`` gives the struct (state, made), from ``state`` on.
+
+    Items are folded in parts of 512, so that appending to an array costs no more than a part, whatever their number.
+    """
+
+    def add(acc: Column, x: Column) -> Column:
+        def both(s: Column) -> Column:
+            return F.struct(s["state"].alias("state"), F.concat(acc["out"], F.array(s["made"])).alias("out"))
+
+        return F.transform(F.array(step(acc["state"], x)), both)[0]
+
+    def part(acc: Column, i: Column) -> Column:
+        start = F.struct(F.element_at(acc, -1)["state"].alias("state"), F.array().cast(f"array<{of}>").alias("out"))
+        return F.concat(acc, F.array(F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), start, add)))
+
+    first = F.array(F.struct(state.alias("state"), F.array().cast(f"array<{of}>").alias("out")))
+    parts = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int")), first, part)
+    return F.when(F.size(items) > 0, F.flatten(F.transform(parts, lambda x: x["out"]))).otherwise(F.array().cast(f"array<{of}>"))
+
+
+def _matches(text: Column, pattern: Column, found: Column) -> Column:
+    """The matches ``found`` with code point bounds: the gaps between matches and the matches' lengths add up to them."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
+    sized = F.transform(pieces, lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["value"].alias("value")))
+
+    def step(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
         end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
-        one = F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value")))
-        return F.struct(end.cast("long").alias("pos"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], one)).alias("spans"))
+        return F.struct(end.cast("long").alias("state"), F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), x["value"].alias("value")).alias("made"))
 
-    zipped = F.transform(pieces, lambda x: F.struct(x["gap"].alias("gap"), x["value"].alias("value")))
-    return F.aggregate(zipped, start, step)["spans"]
+    # The last gap has no match after it.
+    return F.when(F.size(found) > 0, F.slice(_folded(sized, F.lit(0).cast("long"), SPAN, step), F.lit(1), F.size(found))).otherwise(_none())
 
 
 def _digits(value: Column) -> Column:
@@ -99,25 +121,23 @@ def _named(kinds: list[str], make) -> Column:
 def find_base(docs: DataFrame) -> DataFrame:
     """``docs`` with one array of spans (start, end, value) per kind: columns pii_email, pii_ip, pii_card, pii_phone."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs
-    for kind, (pattern, needed) in BASE.items():
-        raw = F.when(needed(text) & text.rlike(pattern), _matches(text, F.lit(pattern))).otherwise(_none())
-        out = out.withColumn(f"pii_{kind}", F.filter(raw, _valid(kind)))
-    return out
+    no_match = F.array().cast("array<string>")
+    out = docs.withColumns({f"pii_{k}": F.when(needed(text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(no_match) for k, (pattern, needed) in BASE.items()})
+    return out.withColumns({f"pii_{k}": F.filter(_matches(text, F.lit(pattern), F.col(f"pii_{k}")), _valid(k)) for k, (pattern, _) in BASE.items()})
 
 
 def _masked(text: Column, kinds: list[str], label) -> Column:
     """The text with its findings replaced by ``label(kind)``; overlapping findings become the first's."""
     spans = F.array_sort(_named(kinds, lambda k, i, x: F.struct(x["start"].alias("start"), F.lit(i).alias("order"), x["end"].alias("end"), F.lit(label(k)).alias("label"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substr(text, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int"))
-        fresh = x["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], gap, x["label"])).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> Column:
+        gap = F.substr(text, (at + 1).cast("int"), (x["start"] - at).cast("int"))
+        made = F.when(x["start"] >= at, F.concat(gap, x["label"])).otherwise(F.lit(""))
+        return F.struct(F.greatest(at, x["end"]).alias("state"), made.alias("made"))
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    built = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["pos"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return F.when(F.size(spans) > 0, built).otherwise(text)
+    parts = F.array_join(_folded(spans, F.lit(0).cast("long"), "string", step), "")
+    end = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) > 0, F.concat(parts, F.substr(text, (end + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text)
 
 
 def _groups(texts: DataFrame, p: Params) -> DataFrame:
@@ -191,19 +211,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, p: Params = Params()) ->
 
 
 def find(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``docs`` with the base arrays and pii_term, the spans of disclosing terms. Null texts count as empty."""
+    """``docs`` with the base arrays and pii_term, the spans of disclosing terms. Null texts count as empty.
+
+    Columns pii_email, pii_ip, pii_card, pii_phone and pii_term are replaced; others may have any name that doesn't begin with
+    two underscores. Equal texts count once for the corpus statistics. An empty table gives no rows.
+    """
     found = find_base(docs)
     kept = materialise(found.where(F.size(F.concat(*(F.col(f"pii_{k}") for k in BASE))) > 0).select("text", *(f"pii_{k}" for k in BASE)), "findings")
     terms = disclosing_terms(docs, kept, p)
     if terms.isEmpty():
         return found.withColumn("pii_term", _none())
-    of_text = materialise(_vocabulary(docs, terms.select("term").distinct(), p).groupBy("key").agg(F.collect_set("term").alias("__terms")), "terms")
+    of_text = materialise(_vocabulary(docs, terms.select("term").distinct(), p).groupBy(F.col("key").alias("__key")).agg(F.collect_set("term").alias("__terms")), "terms")
     of_text = F.broadcast(of_text) if small_enough(of_text, p.broadcast_rows) else of_text
-    joined = found.join(of_text, F.xxhash64("text") == F.col("key"), "left").drop("key")
+    joined = found.join(of_text, F.xxhash64("text") == F.col("__key"), "left").drop("__key")
     names = F.array_join(F.transform(F.array_sort("__terms"), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}'-])(?:"), names, F.lit(r")(?![\p{L}\p{N}'-])"))
-    spans = F.when(F.col("__terms").isNotNull(), _matches(F.coalesce("text", F.lit("")), pattern)).otherwise(_none())
-    return joined.withColumn("pii_term", spans).drop("__terms")
+    text = F.coalesce("text", F.lit(""))
+    joined = joined.withColumn("__pattern", F.when(F.col("__terms").isNotNull(), pattern))
+    joined = joined.withColumn("__found", F.when(F.col("__pattern").isNotNull(), F.regexp_extract_all(text, F.col("__pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    return joined.withColumn("pii_term", _matches(text, F.col("__pattern"), F.col("__found"))).drop("__terms", "__pattern", "__found")
 
 
 KINDS = [*BASE, "term"]

@@ -26,7 +26,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    found = urls.filter_urls(pages, urls.fit(urls.example_labels(spark)))
+    labelled = urls.word_labels(pages.where(~langid.held_out("url"))).unionByName(urls.example_labels(spark))
+    found = urls.filter_urls(pages, urls.fit(labelled))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 

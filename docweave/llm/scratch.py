@@ -9,13 +9,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docweave-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -62,3 +65,14 @@ def text_batches(df: DataFrame, size: str = "8m") -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def apart(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` with the columns ``own``, and all others in one struct, so that no name made later clashes with them."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, F.struct(F.lit(0).alias("__none"), *others).alias("__others"))
+
+
+def together(rows: DataFrame, like: DataFrame, *own: str) -> DataFrame:
+    """The columns of ``like`` again, from ``rows`` that came of ``apart(like, *own)``."""
+    return rows.select(*(F.col(c) if c in own else F.col("__others").getField(c).alias(c) for c in like.columns))

@@ -7,8 +7,9 @@ what is left after the mean). For two vectors the squared distance is at least t
 whose bound is under the k-th best score so far are dropped level by level, coarse to fine; survivors get exact
 integer scores.
 
-Queries are taken in blocks of bounded size, each sent to all tasks and run against all rows; a task keeps k rows
-per query, so neither a hot vector nor the number of partitions decides what is shuffled.
+Queries are taken in blocks of bounded size. A pass over the rows takes many blocks, which are sent to all tasks and run
+against each batch of rows; a task keeps k rows per query, so neither a hot vector nor the number of partitions decides
+what is shuffled. Where more than one pass is needed, the quantised rows are written once and reread.
 """
 
 from __future__ import annotations
@@ -29,13 +30,18 @@ SCHEMA = "query_id long, vec_id long, score long"
 @dataclass(frozen=True)
 class Params:
     k: int = 5
-    block: int = 4096  # queries that are sent to every task at once: 4096 * dimensions * 8 bytes at most
+    block: int = 4096  # queries compared with a batch of rows at once
+    blocks: int = 8  # of a pass; each is 4096 * dimensions * 8 bytes in every task, and three times that in statistics
     seeds: int = 4096  # rows of the seed sample that gives each query its first threshold
     rows: int = 1024  # rows of a task scored together
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as double; rows with unusable vectors take no part."""
+    """(vec_id, v): floor(scale * x) of each component as double; rows with unusable vectors take no part.
+
+    Unusable are null ids, and vectors that are null, empty, or hold null or non-finite components. Repeated ids are
+    separate rows. A component beyond the range of a long becomes the nearest long.
+    """
     x = F.transform("embedding", lambda c: c.cast("double"))
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     usable = whole & ~F.exists(F.coalesce("x", F.array()), lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
@@ -60,7 +66,7 @@ def _matrix(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     col = batch.column("v")
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     ids = batch.column("vec_id").to_numpy()
-    return ids, col.flatten().to_numpy().reshape(len(ids), -1).astype(np.float64) if len(ids) else np.zeros((0, 1))
+    return ids, col.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.int64)
 
 
 def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,76 +74,103 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], score[order]
 
 
-def search(ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, qstats: list, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query its candidates among ``rows`` (ids, scores) that reach ``floor``; at most k each."""
-    rstats = statistics(rows)
-    rnorm, qnorm = (rows * rows).sum(axis=1), (queries * queries).sum(axis=1)
+class Queries:
+    """A block of queries: ids, integer components, statistics, and each one's best rows and least score so far."""
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, floor: np.ndarray):
+        self.ids, self.ints, self.floor = ids, m, floor.copy()
+        self.m = m.astype(np.float64)
+        self.norm = np.linalg.norm(self.m, axis=1)
+        self.stats = statistics(self.m)
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+
+def _survivors(q: Queries, rows: np.ndarray, norm: np.ndarray, stats: list) -> np.ndarray:
+    """(queries, rows) that no bound rules out. Rounding is allowed for in proportion to the norms."""
+    limit = q.floor[:, None] - 1e-9 * q.norm[:, None] * norm[None, :]
     alive = None
-    for (qm, qd, parts), (rm, rd, _) in zip(qstats, rstats, strict=True):
+    for (qm, qd, _), (rm, rd, _) in zip(q.stats, stats, strict=True):
+        # |q|^2 + |v|^2 - distance^2 over means and deviations is twice the products of both
         if alive is None or alive.mean() > 0.1:
-            # sum (a-b)^2 = |a|^2 + |b|^2 - 2ab over means and deviations, for all pairs of the two blocks
-            upper = qm @ rm.T + qd @ rd.T
-            ok = upper >= floor[:, None] - 1e-6 * (1 + np.abs(floor[:, None]))
+            ok = qm @ rm.T + qd @ rd.T >= limit
             alive = ok if alive is None else alive & ok
         else:
-            q, r = np.nonzero(alive)
-            upper = (qm[q] * rm[r]).sum(axis=1) + (qd[q] * rd[r]).sum(axis=1)
-            distance = qnorm[q] + rnorm[r] - 2 * upper
-            upper = (qnorm[q] + rnorm[r] - distance) / 2
-            alive[q, r] = upper >= floor[q] - 1e-6 * (1 + np.abs(floor[q]))
-    if alive is None:
-        alive = np.ones((len(queries), len(rows)), bool)
-    out = []
-    for q in range(len(queries)):
-        r = np.flatnonzero(alive[q])
-        r = r[ids[r] != qids[q]]
-        score = rows[r] @ queries[q]  # integers below 2**53: exact in double precision
-        keep = score >= floor[q]
-        out.append(_best(ids[r][keep], score[keep], k))
-    return out
+            i, j = np.nonzero(alive)
+            alive[i, j] = (qm[i] * rm[j]).sum(axis=1) + (qd[i] * rd[j]).sum(axis=1) >= limit[i, j]
+    return np.ones((len(q.ids), len(rows)), bool) if alive is None else alive
+
+
+def search(ids: np.ndarray, ints: np.ndarray, blocks: list[Queries], k: int) -> int:
+    """Compare rows with all blocks of queries, which keep their k best; returns how many pairs were compared exactly."""
+    rows = ints.astype(np.float64)
+    norm, stats, compared = np.linalg.norm(rows, axis=1), statistics(rows), 0
+    for q in blocks:
+        alive = _survivors(q, rows, norm, stats)
+        exact = q.norm.max(initial=0) * norm.max(initial=0) < 2**52  # every sum of products is exact in double precision
+        for i in np.flatnonzero(alive.any(axis=1)):
+            j = np.flatnonzero(alive[i])
+            j = j[ids[j] != q.ids[i]]
+            compared += len(j)
+            score = (rows[j] @ q.m[i]).astype(np.int64) if exact else ints[j].astype(object) @ q.ints[i].astype(object)
+            keep = score >= q.floor[i]
+            if not keep.any():
+                continue
+            own, had = q.best[i], score[keep] if exact else np.array(score[keep].tolist(), np.int64)
+            q.best[i] = _best(np.concatenate([own[0], ids[j][keep]]), np.concatenate([own[1], had]), k)
+            if len(q.best[i][1]) == k:
+                q.floor[i] = max(q.floor[i], _floor(q.best[i][1][-1]))
+    return compared
+
+
+def _floor(score: int) -> float:
+    """A double that is no more than the score."""
+    return float(score) - (abs(float(score)) * 2.0**-52 if abs(int(score)) >= 2**53 else 0.0)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, p: Params = Params()) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, ties to the smaller id.
 
     Both tables are (vec_id long, v array<long>) of one dimension, as ``quantised`` makes them. A query's own id is no
-    candidate; rows of another dimension than the query's are none either. No usable rows: an empty result.
+    candidate; rows of another dimension than the query's are none either. Rows of a repeated id are candidates each;
+    queries of a repeated id have one answer, the k best of all of them. Scores are exact integers of any size; one that no long
+    holds fails the job. No usable rows: an empty result.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("d", F.size("v"))
     queries = queries.withColumn("d", F.size("v"))
-    numbered = materialise(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // p.block))))), "queries")
-    blocks = [(r["d"], r["block"]) for r in numbered.select("d", "block").distinct().orderBy("d", "block").toLocalIterator()]
+    n = max(1, -(-queries.count() // p.block))
+    numbered = materialise(queries.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))), "queries")
+    of_dimension: dict[int, list[int]] = {}
+    for r in numbered.select("d", "block").distinct().orderBy("d", "block").toLocalIterator():
+        of_dimension.setdefault(r["d"], []).append(r["block"])
+    passes = [(d, blocks[i : i + p.blocks]) for d, blocks in of_dimension.items() for i in range(0, len(blocks), p.blocks)]
+    if len(passes) > 1:
+        rows = materialise(rows, "rows")
     parts = []
-    for d, block in blocks:
+    for d, blocks in passes:
         of = rows.where(F.col("d") == d).select("vec_id", "v")
-        qids, q = _matrix(numbered.where((F.col("d") == d) & (F.col("block") == block)).select("vec_id", "v").orderBy("vec_id").toArrow())
         sids, s = _matrix(of.limit(p.seeds).toArrow())
-        floor = np.full(len(qids), -np.inf)
-        first = search(sids, s, qids, q, statistics(q), floor, p.k)
-        floor = np.array([x[1][p.k - 1] if len(x[1]) >= p.k and len(set(x[0].tolist())) >= p.k else -np.inf for x in first])
-        sent = spark.sparkContext.broadcast((qids, q, floor))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, q, floor = sent.value
-            floor, stats = floor.copy(), statistics(q)
-            best: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids)
+        sent = []
+        for block in blocks:
+            qids, m = _matrix(numbered.where((F.col("d") == d) & (F.col("block") == block)).select("vec_id", "v").orderBy("vec_id").toArrow())
+            # The k-th best of any k other rows is a score that the best k reach.
+            first = Queries(qids, m, np.full(len(qids), -np.inf))
+            search(sids, s, [first], p.k)
+            sent.append(spark.sparkContext.broadcast((qids, m, first.floor)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=tuple(sent)) -> Iterator[pa.RecordBatch]:
+            found = [Queries(*x.value) for x in sent]
             for batch in batches:
                 for at in range(0, batch.num_rows, p.rows):
-                    ids, m = _matrix(batch.slice(at, p.rows))
-                    for i, (vi, vs) in enumerate(search(ids, m, qids, q, stats, floor, p.k)):
-                        if len(vi):
-                            best[i] = _best(np.concatenate([best[i][0], vi]), np.concatenate([best[i][1], vs]), p.k)
-                            if len(best[i][1]) == p.k:
-                                floor[i] = max(floor[i], best[i][1][-1])
-            n = [len(x[0]) for x in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids, n)), pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]).astype(np.int64))], ["query_id", "vec_id", "score"]
-                )
+                    search(*_matrix(batch.slice(at, p.rows)), found, p.k)
+            for q in found:
+                held = [len(x[0]) for x in q.best]
+                if sum(held):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids, held)), *(pa.array(np.concatenate([x[i] for x in q.best])) for i in (0, 1))], ["query_id", "vec_id", "score"])
 
         parts.append(materialise(of.mapInArrow(run, SCHEMA), "topk"))
-        sent.destroy()
+        for x in sent:
+            x.destroy()
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]

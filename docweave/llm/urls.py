@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -75,11 +77,28 @@ def features(rows: DataFrame, suffix: Column) -> DataFrame:
     return rows.withColumns({n: v.cast("double") for n, v in zip(FEATURES, values, strict=True)})
 
 
+# Words that mark a host as junk where no labels are given.
+JUNK = ("ads", "adult", "bets", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
+
+
+def word_labels(urls: DataFrame, junk: tuple[str, ...] = JUNK) -> DataFrame:
+    """(url, label): 1 where a word of the host is in ``junk``, else 0. Null urls and those without a host have no label.
+
+    Words are no features of the trees, which learn from these labels what such hosts look like otherwise.
+    """
+    rows = parsed(urls.select("url").where("url is not null")).where("host <> ''")
+    return rows.select("url", F.arrays_overlap(F.split("host", "[^a-z]+"), F.array(*(F.lit(x) for x in junk))).cast("int").alias("label"))
+
+
+# Shares of blocked and of clean example URLs that carry a mark; no mark is of one label alone.
+MARKS = {"hyphen": (60, 15), "host_digits": (35, 10), "path_numbers": (50, 12), "parameters": (45, 12), "suffix": (40, 6)}
+
+
 def example_labels(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """Labelled URLs (url, label 1 = block) made by a rule: blocked ones carry lexical marks of junk pages.
+    """Labelled URLs (url, label 1 = block) made by a rule: every second one is blocked.
 
-    Half have a plain host and a short path. The other half have, by hash, hyphenated hosts, digits in the host, long
-    numbers in the path or many parameters. Suffixes are alike in both.
+    Each carries, by hash and with the shares of ``MARKS``, a hyphen or digits in the host, long numbers in the path, many
+    parameters or a rare suffix. Marks occur in clean URLs as well, so that only several together decide.
     """
     part = ["re", "ta", "lo", "mi", "sen", "dor", "kan", "vel", "pri", "nos", "tem", "gar", "ble", "sun", "fol"]
     syllables = F.array(*(F.lit(x) for x in part))
@@ -96,14 +115,21 @@ def example_labels(spark: SparkSession, n: int = 2000) -> DataFrame:
     def odds(salt: str, k: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)) == 0
 
-    mark = F.pmod(F.xxhash64("id", F.lit("mark")), F.lit(4))
     bad = F.col("id") % 2 == 1
-    suffix = pick("suffix", F.array(*(F.lit(x) for x in ("com", "org", "net", "info"))), 4)
-    plain = F.concat(word("h"), F.when(odds("two", 3), F.concat(F.lit("."), word("g"))).otherwise(F.lit("")))
-    host = F.when(~bad, plain).when(mark < 2, F.concat(word("h"), F.lit("-"), word("i"))).when(mark == 2, F.concat(word("h"), number("hd", 100000), F.lit("-"), word("k"))).otherwise(plain)
+
+    def marked(name: str) -> Column:
+        blocked, clean = MARKS[name]
+        return F.pmod(F.xxhash64("id", F.lit("mark " + name)), F.lit(100)) < F.when(bad, F.lit(blocked)).otherwise(F.lit(clean))
+
+    def named(*suffixes: str) -> Column:
+        return pick("suffix", F.array(*(F.lit(x) for x in suffixes)), len(suffixes))
+
+    none = F.lit("")
+    suffix = F.when(marked("suffix"), named("info", "biz", "top", "click")).otherwise(named("com", "org", "net", "edu"))
+    host = F.concat(word("h"), F.when(marked("host_digits"), number("hd", 100000)).otherwise(none), F.when(marked("hyphen"), F.concat(F.lit("-"), word("i"))).otherwise(F.when(odds("two", 3), F.concat(F.lit("."), word("g"))).otherwise(none)))
     before = pick("www", F.array(*(F.lit(x) for x in ("", "www.", "m.", "blog."))), 4)
-    path = F.concat(F.lit("/"), word("p"), F.lit("/"), F.when(bad & (mark >= 2), F.concat(number("n1", 1 << 30), F.lit("/"), number("n2", 1 << 30))).otherwise(number("n3", 1000)))
-    query = F.when(bad & (mark == 3), F.concat(F.lit("?a="), number("q", 1 << 30), F.lit("&b=1&c=2&d="), number("r", 1 << 30))).when(odds("query", 5), F.lit("?page=2")).otherwise(F.lit(""))
+    path = F.concat(F.lit("/"), word("p"), F.lit("/"), F.when(marked("path_numbers"), F.concat(number("n1", 1 << 30), F.lit("/"), number("n2", 1 << 30))).otherwise(number("n3", 1000)))
+    query = F.when(marked("parameters"), F.concat(F.lit("?a="), number("q", 1 << 30), F.lit("&b=1&c=2&d="), number("r", 1 << 30))).when(odds("query", 5), F.lit("?page=2")).otherwise(none)
     url = F.concat(F.when(odds("scheme", 3), F.lit("http://")).otherwise(F.lit("https://")), before, host, F.lit("."), suffix, path, query)
     return spark.range(0, n, 1, 1).select(url.alias("url"), bad.cast("int").alias("label"))
 
@@ -125,7 +151,10 @@ def _suffix() -> Column:
 
 
 def fit(labelled: DataFrame, p: Params = Params()) -> UrlModel | None:
-    """Train on (url, label 0/1); None if there are no labelled URLs or only one label (then nothing is blocked)."""
+    """Train on (url, label 0/1); None if there are no labelled URLs or only one label (then nothing is blocked).
+
+    Of more than ``rows`` labelled URLs about so many are taken, by a hash of the URL; null urls and other labels are ignored.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -140,12 +169,16 @@ def fit(labelled: DataFrame, p: Params = Params()) -> UrlModel | None:
     model = UrlModel(None, {r["s"]: (r["bad"] + p.smoothing * share) / (r["n"] + p.smoothing) for r in by}, share)
     known = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, model.suffix_column())).select("features", F.col("label").cast("double").alias("label"))
     trees = GBTClassifier(maxIter=p.trees, maxDepth=p.depth, stepSize=p.step, seed=p.seed)
-    model.trees = trees.fit(known.coalesce(1))
+    # The trees read their few rows many times: a small table, without the features' expressions.
+    model.trees = trees.fit(materialise(known.coalesce(1), "url-features"))
     return model
 
 
 def filter_urls(urls: DataFrame, model: UrlModel | None, rules: tuple = RULES) -> DataFrame:
-    """``urls`` (url and other columns) with host, path, rule and verdict (``allow`` or ``block``)."""
+    """``urls`` (url and other columns) with host, path, rule and verdict (``allow`` or ``block``), which replace columns of those names.
+
+    A null url is judged as an empty one. Repeated rows get equal verdicts; an empty table gives no rows.
+    """
     from pyspark.ml.feature import VectorAssembler
 
     rows = judged(parsed(urls.drop("host", "path", "rule", "rule_verdict", "verdict")), rules)

@@ -91,6 +91,17 @@ def test_top_k_edge_cases(spark):
     assert topk.top_k(none, none).collect() == []
 
 
+def test_top_k_of_huge_components_and_repeated_ids(spark):
+    rows = [(0, [2**33 + 1, 3]), (1, [2**29 + 1, 1]), (2, [2**29, 7]), (3, [2**29 + 1, 1]), (3, [5, 5])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(v.where("vec_id = 0"), v, topk.Params(k=4)).orderBy("rank").collect()]
+    want = sorted(((sum(a * b for a, b in zip(rows[0][1], x, strict=True)), -i) for i, x in rows[1:]), reverse=True)
+    assert got == [(-i, s) for s, i in want]
+    many = topk.quantised(vectors(spark, [(i, [float(i % 7), float(i % 5)], 0) for i in range(60)]))
+    a, b = (sorted(map(tuple, topk.top_k(many, many, p).collect())) for p in (topk.Params(block=4, blocks=2), topk.Params()))
+    assert a == b and len(a) == 300
+
+
 def test_bounds_never_cut_a_better_row():
     rng = np.random.RandomState(5)
     m, q = rng.normal(0, 50, (300, 32)).round(), rng.normal(0, 50, (9, 32)).round()
@@ -144,6 +155,25 @@ def test_vector_dedup_edge_cases(spark):
     assert got[0] == (2, 0, True) and got[1] == (2, 0, False) and got[2] == (2, 0, False)
     assert all(got[i] == (0, i, True) for i in range(3, 10))
     assert vecdedup.near_duplicate_vectors(vectors(spark, []).limit(0)).collect() == []
+    odd = vectors(spark, [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (9, [1.0, 0.01], 1)])
+    got = sorted(map(tuple, vecdedup.near_duplicate_vectors(odd).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (3, 1, 3, True), (3, 1, 2, False), (2, 1, 2, True), (9, 1, 3, False)], key=str)
+
+
+def test_pivots_grow_and_recall_stays():
+    p = vecdedup.Params()
+    rng = np.random.RandomState(0)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n in (1000, 1 << 22, 1 << 28):
+        pivots = rng.normal(size=(p.pivots(n), 64))
+        pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+        a, b = (vecdedup.prefixes(m, pivots, p.length(len(pivots))) for m in (x, y))
+        assert ((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= p.shared).mean() >= 0.95
+    assert [p.pivots(n) for n in (0, 1 << 18, 1 << 20)] == [64, 64, 128]
 
 
 # --- op3, op7 -------------------------------------------------------------------------------------------------------
@@ -226,6 +256,16 @@ def test_language_edge_cases(spark):
     assert {x["lang_pred"] for x in langid.predict(d, none).collect()} == {"und"}
 
 
+def test_a_language_of_long_texts_is_learned_and_columns_stay(spark):
+    long_ = "il gatto dorme sulla tavola e non vuole scendere " * 900
+    train = docs(spark, ["the cat and the dog sleep on the table"] * 3).unionByName(docs(spark, [long_, long_], [10, 10], "it"))
+    m = langid.fit(train)
+    d = docs(spark, ["il gatto vuole dormire", "the dog sleeps"]).withColumn("lang_pred", F.lit("zz")).withColumn("bits_per_byte", F.lit(7.0)).withColumn("__whole", F.lit(1))
+    assert m.languages == ["en", "it"] and [r["lang_pred"] for r in langid.predict(d, m).orderBy("doc_id").collect()] == ["it", "en"]
+    kept = langid.reject_unknown(d, m)
+    assert kept.columns == d.columns and all(r["lang_pred"] == "zz" and r["bits_per_byte"] == 7.0 and r["__whole"] == 1 for r in kept.collect()) and kept.count() == 2
+
+
 def test_unknown_languages_are_rejected(spark, sf):
     known = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     model = langid.fit(known.where(~langid.held_out()))
@@ -243,11 +283,11 @@ def test_unknown_languages_are_rejected(spark, sf):
 # --- op4 ------------------------------------------------------------------------------------------------------------
 
 
-def brute_documents(texts):
+def brute_documents(texts, n=4):
     sets = {}
     for i, t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     links = collections.defaultdict(set)
     for a in sets:
         for b in sets:
@@ -270,17 +310,44 @@ def test_minhash_matches_brute_force(spark):
     texts += ["", None, "a", "A", "a b", "a b c d", LONG, LONG + "x"]
     rows = list(enumerate(texts))
     sets, component = brute_documents(rows)
-    for p in (minhash.Params(), minhash.Params(chunk=4)):
+    for p in (minhash.Params(), minhash.Params(chunk=4, unit=2, crowd=2)):
         got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts).withColumn("digest", F.lit(1)), p).collect()}
         assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
         assert {i: r["component_id"] for i, r in got.items()} == component
         assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_minhash_of_large_families_loses_no_link(spark):
+    rng = np.random.RandomState(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(3):  # chains: each text is a few words off the one before, so ends of a family aren't alike
+        now = rng.choice(words, 150).tolist()
+        for _ in range(120):
+            now = list(now)
+            for i in rng.randint(0, len(now), 1 + k):
+                now[i] = rng.choice(words)
+            texts.append(" ".join(now))
+    rows = list(enumerate(rng.permutation(texts).tolist()))
+    _, component = brute_documents(rows)
+    assert 1 < len(set(component.values())) < 200
+    for p in (minhash.Params(unit=16, crowd=8), minhash.Params()):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, [t for _, t in rows]), p).collect()}
+        assert got == component
+
+
 def test_minhash_edge_cases(spark):
     assert minhash.near_duplicates(docs(spark, ["a"]).limit(0)).collect() == []
-    r = minhash.near_duplicates(docs(spark, ["a b c d e", "a b c d e", "x y"], [5, 5, None])).collect()
-    assert sorted((x["doc_id"] is None, x["component_id"]) for x in r if x["doc_id"] is not None) == [(False, 5), (False, 5)]
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    d = docs(spark, [a, a, b, a, "x y", "", a, b], [5, 5, 5, 4, None, 6, None, 3])
+    r = minhash.near_duplicates(d.withColumn("group", F.lit(1)).withColumn("kept", F.lit(1))).collect()
+    found = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in r), key=str)
+    assert found == sorted([(5, 4, False), (5, 4, False), (5, 3, False), (4, 4, True), (None, None, True), (6, 6, True), (None, None, True), (3, 3, True)], key=str)
+    e = docs(spark, [a, a, a + " k", b, "", "", None, a], [5, 5, 5, 7, 8, 8, 9, None]).withColumn("group", F.lit("g")).withColumn("text_key", F.lit(3))
+    left = minhash.without_copies(e)
+    assert left.columns == e.columns
+    rows = sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=str)
+    assert [x for x in rows if x[0] != 5] == sorted([(7, b), (8, ""), (8, ""), (9, None), (None, a)], key=str) and len(rows) == 6
 
 
 def test_signatures_estimate_similarity():
@@ -301,25 +368,17 @@ def test_cross_entropy_difference(spark):
     texts = ["green apple pie"] * 30 + ["red stone wall"] * 30 + ["green apple", "stone wall", "", None]
     d = docs(spark, texts).withColumn("target", F.lit(3))
     good = spark.createDataFrame([(i,) for i in range(30)] + [(None,), (0,)], "doc_id long")
-    r = {x["doc_id"]: x for x in lmscore.cross_entropy_difference(d, good, lmscore.Params(words=1 << 12, pairs=1 << 14)).collect()}
+    r = {x["doc_id"]: x for x in lmscore.cross_entropy_difference(d, good).collect()}
     assert len(r) == len(texts) and r[60]["score"] < 0 < r[61]["score"]
     assert r[62]["score"] is None and r[63]["n_tokens"] == 0
-    assert lmscore.cross_entropy_difference(d.limit(0), good, lmscore.Params(words=1 << 12, pairs=1 << 14)).collect() == []
-
-
-def test_counts_cover_every_word(spark):
-    p = lmscore.Params(words=1 << 12, pairs=1 << 14)
-    d = docs(spark, ["a b c", "a b", None, LONG]).withColumn("target", F.col("doc_id") == 0).repartition(3)
-    found = lmscore.counts(d.select("text", "target"), p)
-    assert found[:, : p.words].sum(axis=1).tolist() == [200_005, 3] and found[:, p.words : -1].sum(axis=1).tolist() == [200_005, 3]
-    assert found[:, -1].tolist() == [3, 1]
+    assert lmscore.cross_entropy_difference(d.limit(0), good).collect() == []
 
 
 def test_scores_equal_exact_counts_beyond_any_number_of_slots(spark):
     rng = np.random.RandomState(5)
     texts = [" ".join(f"w{k}" for k in rng.randint(0, 3000, 40)) for _ in range(300)] + ["w1", "", None, "w1 w1 w2 never"]
     good = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id long")
-    p = lmscore.Params(words=1 << 4, pairs=1 << 4, tokens=1500, bucket=1 << 12)
+    p = lmscore.Params(tokens=1500, bucket=1 << 12)
     got = {r["doc_id"]: r for r in lmscore.cross_entropy_difference(docs(spark, texts).repartition(3), good, p).collect()}
     single, pair, tokens = ([collections.Counter(), collections.Counter()] for _ in range(3))
     for i, t in enumerate(texts):
@@ -362,10 +421,23 @@ def test_url_rules_and_parsing(spark):
 
 
 def test_url_trees_on_held_out_examples(spark):
-    labelled = urls.example_labels(spark, 3000).withColumn("page_id", F.abs(F.xxhash64("url")))
+    labelled = urls.example_labels(spark, 6000).withColumn("page_id", F.abs(F.xxhash64("url")))
     model = urls.fit(labelled.where("page_id % 3 <> 0"))
     r = urls.filter_urls(labelled.where("page_id % 3 = 0"), model, ()).collect()
-    assert sum((x["verdict"] == "block") == bool(x["label"]) for x in r) / len(r) >= 0.9
+    assert sum((x["verdict"] == "block") == bool(x["label"]) for x in r) / len(r) >= 0.8
+    bare = [x for x in r if not re.search(r"-|\d{5}|&|\.(info|biz|top|click)/|//[^/]*\d", x["url"])]
+    assert len(bare) > 300 and sum(x["verdict"] == "block" for x in bare if not x["label"]) <= 0.01 * len(bare)
+    assert max(model.suffix.values()) > 2 * min(model.suffix.values())
+
+
+def test_url_labels_by_words_and_trees_on_pages(spark, sf):
+    got = urls.word_labels(spark.createDataFrame([("http://www.casino-win.example.com/x",), ("http://thecasinos.org",), ("http://a.b/casino",), (None,), ("none",)], "url string")).collect()
+    assert [(r["url"], r["label"]) for r in got] == [("http://www.casino-win.example.com/x", 1), ("http://thecasinos.org", 0), ("http://a.b/casino", 0)]
+    pages = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/pages.parquet").select("page_id", "url")
+    known = urls.word_labels(pages.where("page_id % 5 <> 0"))
+    model = urls.fit(known.unionByName(urls.example_labels(spark)))
+    r = urls.filter_urls(urls.word_labels(pages.where("page_id % 5 = 0")), model, ()).collect()
+    assert r and sum((x["verdict"] == "block") == bool(x["label"]) for x in r) / len(r) >= 0.95
 
 
 # --- op8 ------------------------------------------------------------------------------------------------------------
@@ -407,17 +479,52 @@ def test_packing_is_gapless_and_complete(spark):
     assert packing.pack_documents(d.limit(0), path).collect() == []
 
 
-def test_best_fit_respects_every_capacity():
-    lengths = np.array([5, 5, 4, 3, 2, 1, 1])
-    bins, _ = packing.best_fit(lengths, packing.Params(tokens=10, pieces=2, cost=50))
-    for b in set(bins.tolist()):
-        own = lengths[bins == b]
-        assert own.sum() <= 10 and len(own) <= 2 and (own**2).sum() <= 50
-    assert len(set(packing.best_fit(np.array([6, 5, 4, 3, 2]), packing.Params(tokens=10, pieces=9, cost=1000))[0].tolist())) == 2
+def naive_best_fit(lengths, p):
+    full = (p.tokens, p.pieces, p.cost)
+    bins = []
+    place = [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        own = (lengths[i], 1, (-(-lengths[i] // p.tile)) ** 2)
+        fits = [(sum(w * ((r - o) / f) ** 2 for w, r, o, f in zip(p.weights, room, own, full, strict=True)), b) for b, room in enumerate(bins) if all(r >= o for r, o in zip(room, own, strict=True))]
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append(full)
+        bins[b] = tuple(r - o for r, o in zip(bins[b], own, strict=True))
+        place[i] = b
+    return place
+
+
+def test_best_fit_equals_a_plain_one_and_every_capacity_binds():
+    rng = np.random.RandomState(4)
+    for kind in (rng.randint(1, 2049, 300), rng.randint(1, 9, 900), np.concatenate([np.full(9, 2040), rng.randint(1, 4, 60)]), np.repeat([5], 40)):
+        lengths = rng.permutation(kind).astype(np.int64)
+        p = packing.Params()
+        bins, _ = packing.best_fit(lengths, p)
+        # Norms are compared in floating point, so equal ones may be told apart either way: what a bin holds is compared.
+        naive = naive_best_fit(lengths.tolist(), p)
+        held = lambda place: sorted(sorted(lengths[np.array(place) == b].tolist()) for b in set(place))
+        assert held(bins.tolist()) == held(naive)
+        for b in set(bins.tolist()):
+            own = lengths[bins == b]
+            assert own.sum() <= p.tokens and len(own) <= p.pieces and p.tiles(own).sum() <= p.cost
+    many = np.ones(1000, np.int64)
+    assert len(set(packing.best_fit(many)[0].tolist())) == 4  # pieces
+    tight = np.concatenate([np.full(3, 2000), np.ones(20)]).astype(np.int64)
+    assert len(set(packing.best_fit(tight)[0].tolist())) == 4  # cost: tokens would do with three
     with pytest.raises(ValueError, match="exceeds"):
         packing.best_fit(np.array([11]), packing.Params(tokens=10))
 
 
+def test_packing_is_near_the_least_number_and_ignores_hot_ids(spark):
+    rng = np.random.RandomState(6)
+    d = docs(spark, ["word " * int(n) for n in rng.randint(1, 900, 400)], [None] * 200 + [7] * 200)
+    placed = packing.pack_documents(d, packing.vocabulary(), packing.Params(cell=64)).collect()
+    used = len({r["sequence_id"] for r in placed})
+    least = -(-sum(r["length"] for r in placed) // 2048)
+    cells = collections.Counter(r["sequence_id"] >> 24 for r in placed)
+    assert least <= used <= least + len(cells) and len(cells) > 1 and max(cells.values()) <= 150
+
+
 # --- op9 ------------------------------------------------------------------------------------------------------------
 
 
@@ -487,6 +594,52 @@ def test_witnesses_are_groups_of_near_copies(spark):
     assert "Falcon" not in more[184]
 
 
+def brute_terms(texts, p):
+    """Disclosing (term, entity) by plain counting; texts without near copies are witnesses each."""
+    distinct = sorted({t for t in texts if t is not None})
+    words = lambda t: set(re.findall(r"[^\W\d_][\w'-]*", t.lower()))
+    of_entity, rest, n_t = collections.defaultdict(set), {}, collections.Counter()
+    for k, t in enumerate(distinct):
+        spans = [(int(s.split(":")[1]), int(s.split(":")[2]), s.split(":")[0]) for s in base_spans(t)]
+        for a, b, kind in spans:
+            of_entity[f"{kind}:{t[a:b].lower()}"].add(k)
+        masked = t
+        for a, b, _ in sorted(spans, reverse=True):
+            masked = masked[:a] + " " + masked[b:]
+        rest[k] = words(masked)
+        n_t.update(words(t))
+    found = set()
+    for e, of in of_entity.items():
+        for term, n in collections.Counter(w for k in of for w in rest[k]).items():
+            confidence = n / n_t[term]
+            if len(of) >= p.witnesses and n >= p.witnesses and confidence >= p.confidence and np.log2(confidence / (len(of) / len(distinct))) >= p.bits:
+                found.add((term, e))
+    return found
+
+
+def test_disclosing_terms_equal_plain_counts_with_the_registered_thresholds(spark):
+    rng = np.random.RandomState(11)
+    fill = lambda n: " ".join(f"w{k}" for k in rng.randint(0, 3000, n))
+    texts = [f"{fill(25)} Zorblax {fill(9)} boss@corp.example {fill(20)}" for _ in range(12)]
+    texts += [f"{fill(25)} Quandle {fill(9)} 10.1.2.3 {fill(20)} common" for _ in range(4)]  # too few witnesses
+    texts += [f"{fill(25)} common {fill(9)} me@far.example {fill(20)}" for _ in range(9)]
+    texts += [f"{fill(50)} common" for _ in range(40)] + [fill(50) for _ in range(200)] + ["only Zorblax here", None, ""]
+    d = docs(spark, texts).withColumn("key", F.lit("k")).withColumn("term", F.lit(1)).withColumn("rest", F.lit(2))
+    p = pii.Params()
+    found = pii.find_base(d).where(F.size(F.concat(*(F.col(f"pii_{k}") for k in pii.BASE))) > 0)
+    got = {(r["term"], r["entity"]) for r in pii.disclosing_terms(d, found, p).collect()}
+    assert got == brute_terms(texts, p) == {("zorblax", "email:boss@corp.example")}
+    r = pii.sanitise(pii.find(d)).orderBy("doc_id").collect()
+    assert "[TERM]" in r[0]["text"] and r[-3]["text"] == "only [TERM] here" and r[-3]["key"] == "k" and r[30]["text"] == texts[30]
+
+
+def test_many_findings_in_one_text(spark):
+    text = "a@b.cd 10.0.0.1 " * 6000
+    r = pii.find(docs(spark, [text])).select("pii_email", F.size("pii_ip").alias("n"), "text").collect()[0]
+    assert len(r["pii_email"]) == r["n"] == 6000 and [(x["start"], x["end"]) for x in r["pii_email"][511:514]] == [(16 * k, 16 * k + 6) for k in (511, 512, 513)]
+    assert pii.sanitise(pii.find(docs(spark, [text]))).collect()[0]["text"] == "[EMAIL] [IP] " * 6000
+
+
 def test_sanitise_overlaps(spark):
     r = pii.sanitise(pii.find(docs(spark, ["é +4111 1111 1111 1111 a@b.c1.2.3.4 end", None, "plain"]))).orderBy("doc_id").collect()
     assert r[0]["text"].startswith("é +[CARD] [EMAIL]") and r[0]["text"].endswith(" end") and "1111" not in r[0]["text"] and "@" not in r[0]["text"]
@@ -530,6 +683,23 @@ def test_mixing_meets_its_targets(spark):
         assert abs(taken[s] - want[s]) <= 0.03 * want[s]
 
 
+def test_multipliers_solve_the_dual(spark):
+    rng = np.random.RandomState(7)
+    size = np.concatenate([rng.lognormal(5, 1.5, 3000).astype(int), [9_000, 9_001, 250_000]])
+    sizes = spark.createDataFrame([(i, "a" if i % 4 else "b", int(n)) for i, n in enumerate(size)], "doc_id long, source string, size long")
+    p = mixing.Params()
+    found, few = mixing.solve(sizes, p)
+    for r in found.collect():
+        own = size[[i for i in range(len(size)) if ("a" if i % 4 else "b") == r["source"]]]
+        z = np.maximum(0.1, own / r["mean"])
+        rate = np.full(len(own), 2.0) if r["multiplier"] == float("inf") else 2 / (1 + np.exp(-r["multiplier"] * z))
+        assert (own * rate).sum() == pytest.approx(r["target"], rel=1e-5)
+        taken = mixing._per_source(sizes.where(F.col("source") == r["source"]), found, few).select(F.sum(F.col("size") * mixing.copies(p))).first()[0]
+        assert abs(taken - r["target"]) <= np.median(own)
+    with pytest.raises(Exception, match="isn't solved"):
+        mixing.solve(sizes, mixing.Params(steps=1))
+
+
 def test_mixing_edge_cases(spark):
     d = docs(spark, ["", None, "one two", "one two"], [1, 2, 3, 3])
     r = mixing.mixed_sizes(d).collect()

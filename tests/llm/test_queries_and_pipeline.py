@@ -47,7 +47,7 @@ def test_stages(spark, sf):
     gone = {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in known.collect()}
     assert {90001, 90002, 90004} <= gone and len(gone) <= 6
     single = stage["near_duplicates"](spark, known, sf).cache()
-    _, component = brute_documents([(r["doc_id"], r["text"]) for r in known.collect() if r["doc_id"] is not None])
+    _, component = brute_documents([(r["doc_id"], r["text"]) for r in known.collect() if r["doc_id"] is not None], 5)
     assert {r["doc_id"] for r in single.collect() if r["doc_id"] is not None} == set(component.values())
     clean = stage["personal_data"](spark, single, sf).cache()
     assert clean.columns == DOCUMENTS and clean.count() == single.count()
@@ -74,3 +74,18 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_stages_keep_columns_of_any_name_and_rows_of_repeated_ids(spark, sf):
+    names = ["score", "lang_pred", "bits_per_byte", "key", "group", "kept", "pii_email", "size", "target", "mean", "moves", "multiplier", "copies"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*DOCUMENTS).limit(60)
+    text = "one two three four five six seven eight nine ten the house and the garden were there"
+    again = spark.createDataFrame([(80001, text, "en", "x", 1), (80001, text, "en", "x", 1), (80001, text + " now", "en", "x", 1), (80002, text, "en", "x", 1)], DOC)
+    docs = docs.unionByName(again).withColumns({n: F.lit(7.5) for n in names}).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.where(" or ".join(f"{n} is null or {n} <> 7.5" for n in names)).count() == 0, name
+        if name == "near_duplicates":
+            assert [r["text"] for r in out.where("doc_id in (80001, 80002)").collect()] in ([text], [text + " now"])
+        assert stage(spark, docs.limit(0), sf).collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
