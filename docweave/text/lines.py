@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 from typing import NamedTuple
 
 from .scan import Span, closing_bracket, closing_paren, next_unescaped
@@ -53,73 +54,68 @@ def without_quote(content: str) -> str:
     return content[m.end() :] if m else content
 
 
-def protected(lines: list[Line]) -> set[int]:
-    """Indices of lines that hold no prose: front matter, code, display formulas, raw HTML, rules, table and heading marks.
+def _fence_end(lines: list[Line], i: int) -> int | None:
+    opened = FENCE.match(without_quote(lines[i].content))
+    if not opened:
+        return None
+    for k in range(i + 1, len(lines)):
+        mark = FENCE.match(without_quote(lines[k].content))
+        if mark and mark[1].startswith(opened[1]) and not mark[2].strip():
+            return k + 1
+    return len(lines)
 
-    A region that stays open beyond its first line is one closing test, applied line by line.
-    """
-    found: set[int] = set()
-    closes = None
-    first = 0
-    if lines and lines[0].content.strip() == "---":
-        first = next((i for i in range(1, len(lines)) if lines[i].content.strip() in ("---", "...")), len(lines) - 1) + 1
-        found.update(range(first))
-    for i in range(first, len(lines)):
-        content = lines[i].content
-        inner = without_quote(content)
-        if closes is not None:
-            found.add(i)
-            if closes(content):
-                closes = None
-            continue
-        kind, closes = _opens(content, inner)
-        if kind:
-            found.add(i)
-    return found
 
+def _formula_end(lines: list[Line], i: int) -> int | None:
+    start = without_quote(lines[i].content).strip()
+    closer = {"$$": "$$", "\\[": "\\]"}.get(start[:2])
+    if closer is None or closer in start[2:]:
+        return None
+    return next((k + 1 for k in range(i + 1, len(lines)) if (at := lines[k].content.find(closer)) >= 0 and next_unescaped(lines[k].content, closer, at) == at), len(lines))
+
+
+def _markup_end(lines: list[Line], i: int) -> int | None:
+    inner = without_quote(lines[i].content).lower()
+    for opener, closer in (("script", "</script>"), ("style", "</style>"), ("pre", "</pre>"), ("code", "</code>"), ("!--", "-->")):
+        at = inner.find("<" + opener)
+        while at >= 0 and opener[0] != "!" and inner[at + len(opener) + 1 : at + len(opener) + 2] not in (" ", "\t", ">"):
+            at = inner.find("<" + opener, at + 1)
+        if at >= 0:
+            # A comment closes after its opener, an element anywhere on the line.
+            if closer in (inner[at:] if opener[0] == "!" else inner):
+                return i + 1
+            return next((k + 1 for k in range(i + 1, len(lines)) if closer in lines[k].content.lower()), len(lines))
+    return None
 
-def _opens(content: str, inner: str):
-    """(is the line protected, test that ends the region it opens or None)."""
-    stripped, lowered = inner.strip(), inner.lower()
-    if m := FENCE.match(inner):
-        mark = m[1]
 
-        def fence_end(line: str) -> bool:
-            c = FENCE.match(without_quote(line))
-            return bool(c and c[1][0] == mark[0] and len(c[1]) >= len(mark) and not c[2].strip())
+REGIONS = (_fence_end, _formula_end, _markup_end)
 
-        return True, fence_end
-    if INDENTED.match(inner):
-        return True, None
-    for opener, closer in (("$$", "$$"), (r"\[", r"\]")):
-        if stripped.startswith(opener) and closer not in stripped[2:]:
 
-            def formula_end(line: str, closer: str = closer) -> bool:
-                at = line.find(closer)
-                return at >= 0 and next_unescaped(line, closer, at) == at
+def protected(lines: list[Line]) -> set[int]:
+    """Indices of lines that hold no prose: front matter, code, display formulas, raw HTML, rules, table and heading marks.
 
-            return True, formula_end
-    for tag in ("script", "style", "pre", "code"):
-        if re.search(rf"<{tag}(?:\s|>)", lowered):
-            end = f"</{tag}>"
-            return True, None if end in lowered else (lambda line: end in line.lower())
-    if "<!--" in inner:
-        return True, None if "-->" in inner.split("<!--", 1)[1] else (lambda line: "-->" in line)
-    return any(p.match(content) for p in (RULE, DELIMITER_ROW, UNDERLINE, REFERENCE)), None
+    Regions are intervals of lines, each from its opener to its closer or the end; between them lines stand for themselves.
+    """
+    at = 0
+    if lines and lines[0].content.strip() == "---":
+        at = next((i for i in range(1, len(lines)) if lines[i].content.strip() in ("---", "...")), len(lines) - 1) + 1
+    found = set(range(at))
+    while at < len(lines):
+        alone = INDENTED.match(without_quote(lines[at].content)) or any(p.match(lines[at].content) for p in (RULE, DELIMITER_ROW, UNDERLINE, REFERENCE))
+        end = None if alone and not FENCE.match(without_quote(lines[at].content)) else next((e for region in REGIONS if (e := region(lines, at)) is not None), None)
+        if alone or end is not None:
+            found.update(range(at, end or at + 1))
+        at = end or at + 1
+    return found
 
 
 def table_rows(lines: list[Line]) -> set[int]:
     """Indices of the header line before and the body lines after each delimiter row."""
-    found: set[int] = set()
-    for i, line in enumerate(lines):
-        if DELIMITER_ROW.match(line.content):
-            if i and "|" in lines[i - 1].content:
-                found.add(i - 1)
-            k = i + 1
-            while k < len(lines) and "|" in lines[k].content:
-                found.add(k)
-                k += 1
-    return found
+    bars = ["|" in line.content for line in lines]
+    # For each line the first one from it on that has no bar: a body ends there.
+    reach = list(accumulate(range(len(lines) - 1, -1, -1), lambda r, i: r if bars[i] else i, initial=len(lines)))[::-1]
+    marks = [i for i, line in enumerate(lines) if DELIMITER_ROW.match(line.content)]
+    found = {k for i in marks for k in range(i + 1, reach[i + 1])}
+    return found | {i - 1 for i in marks if i and bars[i - 1]}
 
 
 def underlined(lines: list[Line]) -> dict[int, int]:
@@ -133,17 +129,16 @@ def underlined(lines: list[Line]) -> dict[int, int]:
 
 
 def footnote_lines(lines: list[Line]) -> set[int]:
-    """Indices of indented lines that continue a footnote definition."""
-    found: set[int] = set()
-    inside = False
-    for i, line in enumerate(lines):
+    """Indices of indented lines that continue a footnote definition: neither they nor blank lines end it."""
+
+    def kind(line: Line) -> str:
         if FOOTNOTE.match(line.content):
-            inside = True
-        elif line.content.strip() and inside:
-            inside = bool(re.match(r" {4}|\t", line.content))
-            if inside:
-                found.add(i)
-    return found
+            return "note"
+        return "deep" if line.content.startswith(("    ", "\t")) and line.content.strip() else "text" if line.content.strip() else "blank"
+
+    kinds = [kind(line) for line in lines]
+    owner = accumulate(kinds, lambda last, k: k if k in ("note", "text") else last, initial="text")
+    return {i for i, (k, o) in enumerate(zip(kinds, owner, strict=False)) if k == "deep" and o == "note"}
 
 
 _CELL_TOKEN = re.compile(r"\\\(|\\\[|\\.|`+|\$\$|\$|!?\[|\|", re.S)
