@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import apart, materialise, text_batches, together
+from .scratch import apart, materialise, small_enough, text_batches, together
 from .textops import U64, VecMap, buffers, slices
 
 UNDETERMINED = "und"
@@ -66,7 +66,7 @@ ODD = r"(?<!\S)[^\s0-9@=]*+[0-9@=]\S*+"
 def plain(text: F.Column) -> F.Column:
     """The text without its odd words; the whole text where no letter is left."""
     words = F.regexp_replace(text, ODD, " ")
-    return F.when(words.rlike(r"\p{L}"), words).otherwise(text)
+    return F.transform(F.array(words), lambda w: F.when(w.rlike(r"\p{L}"), w).otherwise(text))[0]
 
 
 def bounds(model: Model, texts: pa.Array, p: Params) -> dict[int, float]:
@@ -172,12 +172,16 @@ def fit(labelled: DataFrame, p: Params = Params()) -> Model:
     """
     rows = labelled.where("lang is not null and doc_id is not null and length(text) > 0").select("doc_id", "lang", "text", F.xxhash64("text").alias("key"))
     w = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "key")
-    # Ids alone are put in order: a task passes on no more of them than a language needs.
-    ids = rows.select("doc_id", "lang", "key", (F.length("text") > p.longest).alias("long")).distinct()
-    chosen = materialise(ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * p.texts).drop("long"), "training")
+    # A draw by hash leaves several times as many as a language needs, of short texts and of long ones; those are put in order.
+    ids = rows.select("doc_id", "lang", "key", (F.length("text") > p.longest).alias("long"))
+    many = materialise(ids.groupBy("lang", "long").agg(F.count("*").alias("rows")), "languages")
+    few = small_enough(many, 10_000)  # rows of a name and a number; the training texts are at most 2 * texts times as many
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = ids.join(F.broadcast(many) if few else many, ["lang", "long"]).where(draw * F.col("rows") < 8 * p.texts).select("doc_id", "lang", "key", "long").distinct()
+    chosen = materialise(drawn.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * p.texts).drop("long"), "training")
     place = F.pmod(F.xxhash64("doc_id"), F.length("text") - p.longest)
     piece = F.when(F.length("text") > p.longest, F.substr("text", (place + 1).cast("int"), F.lit(p.longest))).otherwise(F.col("text"))
-    found = rows.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("lang", "n", piece.alias("text")).dropDuplicates(["lang", "n"])
+    found = rows.join(F.broadcast(chosen) if few else chosen, ["doc_id", "lang", "key"]).select("lang", "n", piece.alias("text")).dropDuplicates(["lang", "n"])
     found = found.select("lang", "n", "text", plain(F.col("text")).alias("plain")).toArrow().sort_by([("lang", "ascending"), ("n", "ascending")])
     learned = found.filter(pc.less_equal(found.column("n"), p.texts))
     texts = {name: learned.filter(pc.equal(learned.column("lang"), name)).column("text").combine_chunks() for name in pc.unique(learned.column("lang")).to_pylist()}
