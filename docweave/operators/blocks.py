@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def paragraph_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,30 +27,44 @@ def paragraph_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def context(items: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Adds the nearest value on either side by offset; items that begin at the same place are no neighbours."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.last(value).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.first(value).over(w.rangeBetween(1, Window.unboundedFollowing))
+    """Adds the nearest value on either side by offset; items that begin at the same place are no neighbours.
+
+    Both frames grow from the first row, one of them in descending order, so each is evaluated once along a group.
+    """
+    before = F.last(value).over(Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    after = F.last(value).over(Window.partitionBy(key).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1))
     return items.withColumn("context_before", F.coalesce(before, F.lit(""))).withColumn("context_after", F.coalesce(after, F.lit("")))
 
 
+def merged_context(units: DataFrame, regions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Context of units and regions (key, start, value) among both lists, in order of their starts; ``kind`` tells them apart."""
+    both = units.select(key, "start", "value", F.lit("unit").alias("kind")).unionByName(regions.select(key, "start", "value", F.lit("region").alias("kind")))
+    return context(both, key, "start", "value")
+
+
 def pack(units: DataFrame, limit: int, keys: list[str], order: str = "unit", size: str = "chars") -> DataFrame:
     """Adds block, counted from 1 in each group: a block closes before a unit that would exceed ``limit``; a larger unit stands alone.
 
-    The sequence is inherently serial within a group, so each group is folded over its ordered array; groups run side by side.
+    The sequence is serial within a group. Groups are brought together in order, and one pass over a partition carries the
+    open block from row to row: nothing is collected, whatever a group's size.
     """
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).cast("long").alias("room"), F.array().cast(f"array<struct<{order}:int,block:int>>").alias("out"))
-
-    def step(acc: Column, u: Column) -> Column:
-        opens = (acc["block"] == 0) | (u[size] > acc["room"])
-        block = acc["block"] + opens.cast("int")
-        room = F.when(opens, F.lit(limit).cast("long")).otherwise(acc["room"]) - u[size]
-        one = F.array(F.struct(u[order].cast("int").alias(order), block.alias("block")))
-        return F.struct(block.alias("block"), room.alias("room"), F.concat(acc["out"], one).alias("out"))
-
-    rows = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(size).cast("long").alias(size)))).alias("u"))
-    placed = rows.select(*keys, F.explode(F.aggregate("u", start, step)["out"]).alias("x")).select(*keys, f"x.{order}", "x.block")
-    return units.join(placed, [*keys, order])
+    names = units.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block, room = None, 0, 0
+        for batch in batches:
+            made = []
+            for *own, n in zip(*(batch.column(c).to_pylist() for c in [*keys, size]), strict=True):
+                if own != group:
+                    group, block, room = own, 0, 0
+                if block == 0 or n > room:
+                    block, room = block + 1, limit
+                room -= n
+                made.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int32())], [*names, "block"])
+
+    schema = StructType([*units.schema.fields]).add("block", "integer")
+    return units.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def block_totals(packed: DataFrame, keys: list[str]) -> DataFrame:

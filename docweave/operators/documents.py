@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -101,14 +102,17 @@ def extracted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def planned(docs: DataFrame, limit: int = units.MAX_BLOCK_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per block of each document's units, with its surface."""
+    """One row per block of each document's units, with its surface; a reserved marker in a text gives one row with the error."""
 
     def make(k, t):
-        for b in units.blocks(units.extract((t or "").removeprefix("\ufeff")).units, limit):
-            yield {key: k} | b
+        try:
+            found = units.extract((t or "").removeprefix("\ufeff")).units
+        except units.ReservedMarker as e:
+            return [{key: k, "error": str(e)}]
+        return ({key: k, "error": ""} | b for b in units.blocks(found, limit))
 
     kind = docs.schema[key].dataType.simpleString()
-    return flat_map(docs, [key, text], make, f"{key} {kind}, id string, unit_ids array<string>, unit_count int, line_start int, line_end int, section_start string, section_end string, translatable_chars int, surface_bytes int, surface_sha256 string, surface string")
+    return flat_map(docs, [key, text], make, f"{key} {kind}, error string, id string, unit_ids array<string>, unit_count int, line_start int, line_end int, section_start string, section_end string, translatable_chars int, surface_bytes int, surface_sha256 string, surface string")
 
 
 def rendered(docs: DataFrame, key: str = "doc_id", text: str = "text", translations: str | None = None) -> DataFrame:
@@ -124,21 +128,32 @@ def rendered(docs: DataFrame, key: str = "doc_id", text: str = "text", translati
             out, error = mark + units.render(body, found, answers, {r.id: {"decision": "protect"} for r in found.regions}), ""
         except ValueError as e:
             out, error = None, str(e)
-        return {key: k, "rendered": out, "error": error, "sha256": units.sha(out) if out is not None else None}
+        return {key: k, "rendered": out, "error": error, "sha256": units.sha(out) if out is not None else None, "source_sha256": units.sha(t)}
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text, *([translations] if translations else [])], make, f"{key} {kind}, rendered string, error string, sha256 string")
+    return map_rows(docs, [key, text, *([translations] if translations else [])], make, f"{key} {kind}, rendered string, error string, sha256 string, source_sha256 string")
+
+
+@lru_cache(maxsize=4)
+def _planned_once(text: str, limit: int) -> tuple[dict, dict]:
+    found = units.extract(text.removeprefix("\ufeff"))
+    return {u.id: u for u in found.units}, {x["id"]: x for x in units.blocks(found.units, limit)}
 
 
 def answers_checked(blocks: DataFrame, key: str = "doc_id", text: str = "text", block: str = "block_id", answer: str = "answer", limit: int = units.MAX_BLOCK_CHARS) -> DataFrame:
-    """Translated blocks against their contract: key, block, accepted, error, and the translations by unit."""
+    """Translated blocks against their contract: key, block, accepted, error, and the translations by unit.
+
+    Blocks of one text that follow one another share its extraction. A reserved marker in a text is an error of its blocks.
+    """
 
     def make(k, t, b, a):
-        found = units.extract((t or "").removeprefix("\ufeff"))
-        own = next((x for x in units.blocks(found.units, limit) if x["id"] == b), None)
-        if own is None:
+        try:
+            by_id, own = _planned_once(t or "", limit)
+        except units.ReservedMarker as e:
+            return {key: k, block: b, "accepted": False, "error": str(e), "translations": {}}
+        if b not in own:
             return {key: k, block: b, "accepted": False, "error": "unknown block", "translations": {}}
-        made, error = units.parse_surface(own, {u.id: u for u in found.units}, a or "")
+        made, error = units.parse_surface(own[b], by_id, a or "")
         return {key: k, block: b, "accepted": not error, "error": error, "translations": made}
 
     kind = blocks.schema[key].dataType.simpleString()

@@ -114,9 +114,9 @@ def without_quote(content: Column) -> Column:
 
 def next_non_blank(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds the number and text of the next line that isn't blank."""
-    after = Window.partitionBy(key).orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    below = Window.partitionBy(key).orderBy(F.desc("number")).rowsBetween(Window.unboundedPreceding, -1)
     filled = F.when(strip(F.col("content")) != "", F.struct("number", "content"))
-    return lines.withColumn("next", F.first(filled, ignorenulls=True).over(after))
+    return lines.withColumn("next", F.last(filled, ignorenulls=True).over(below))
 
 
 def missed_formulas(lines: DataFrame, key: str = "doc_id") -> DataFrame:

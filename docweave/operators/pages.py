@@ -89,9 +89,11 @@ def output_names(pages: DataFrame, title: str = "title", longest: int = 80) -> D
     base = C.file_name(F.col(title), longest)
     canonical = C.canonical_url(F.col("url"))
     rows = pages.select("page_id", base.alias("base"), canonical.alias("canonical"), F.col(title).alias("t"))
-    first = F.row_number().over(Window.partitionBy("base").orderBy("canonical", "page_id")) == 1
+    # The least of each name is aggregated before it is dealt out, so that a name of very many pages is one row of a task.
+    least = rows.groupBy("base").agg(F.min(F.struct("canonical", "page_id")).alias("least"))
+    first = F.struct("canonical", "page_id") == F.col("least")
     suffix = F.concat(F.lit("-"), F.substring(C.sha256(F.col("canonical")), 1, 8))
-    return rows.withColumn("first", first).select("page_id", F.when(F.col("first"), F.col("base")).otherwise(F.concat(C.file_name(F.col("t"), longest - 9), suffix)).alias("name"))
+    return rows.join(least, "base").withColumn("first", first).select("page_id", F.when(F.col("first"), F.col("base")).otherwise(F.concat(C.file_name(F.col("t"), longest - 9), suffix)).alias("name"))
 
 
 def formula_passes(rows: DataFrame) -> DataFrame:

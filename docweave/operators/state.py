@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("merge", "render", "verify", "review")
@@ -82,13 +82,12 @@ def merge_glossary(terms: DataFrame, updates: DataFrame, replace: bool = False)
 
 def to_delete(folders: DataFrame, most_bytes: int = 50 * 1024 * 1024, keep: int = 20) -> DataFrame:
     """Folders (path, ts, bytes) that retention removes: oldest first, while there are too many or too many bytes, never the last ``keep``."""
-    newest = Window.orderBy(F.desc("ts"), F.desc("path"))
-    everything = Window.partitionBy()
-    rows = folders.withColumn("rank", F.row_number().over(newest)).withColumn("total", F.sum("bytes").over(everything)).withColumn("n", F.count("*").over(everything))
-    # Bytes that remain once all older folders are gone: this one and the newer ones.
-    left = F.sum("bytes").over(newest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    newest = folders.orderBy(F.desc("ts"), F.desc("path")).limit(keep).agg(F.min(F.struct("ts", "path")).alias("least"))
+    totals = folders.agg(F.sum("bytes").alias("total"), F.count("*").alias("n"))
+    # Both are one row.
+    rows = folders.join(F.broadcast(newest.join(totals)))
     too_many = (F.col("total") > most_bytes) | (F.col("n") > keep)
-    return rows.withColumn("left", left).where(too_many & (F.col("rank") > keep)).select("path", "ts", "bytes")
+    return rows.where(too_many & (F.struct("ts", "path") < F.col("least"))).select("path", "ts", "bytes")
 
 
 def drift(example: DataFrame, actual: DataFrame) -> DataFrame:

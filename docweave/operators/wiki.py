@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +99,16 @@ def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return ids.unionByName(titles.select("node_id", "lookup", F.col("pick.i_id").alias("page_id"), F.col("pick.i_version").alias("version")))
 
 
-def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_limit: int = 64) -> DataFrame:
+def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_limit: int | None = None) -> DataFrame:
     """The read-only import plan of a tree (node_id, parent_node_id, title, has_page), level by level from the root.
 
     status is new, update, move, skip (a folder without a page: its children hang from its parent) or error (ambiguous, or
-    a page that another node claims). Each level is one lookup join; a page id is frozen with its version.
+    a page that another node claims). Each level is one lookup join; a page id is frozen with its version. ``depth_limit``
+    is a number of levels, all without one; nodes in a cycle hang from no root and are in no level.
     """
     level = nodes.where("parent_node_id is null").select("node_id", "title", "has_page", F.lit(None).cast("string").alias("parent_node_id"), F.lit(None).cast("string").alias("target"), F.lit(False).alias("pending"), F.lit(0).alias("depth"))
     out, claimed = None, None
-    for _ in range(depth_limit):
+    for _ in count() if depth_limit is None else range(depth_limit):
         wanted = level.where("has_page").select("node_id", "title", F.lit(None).cast("string").alias("wanted_id"), F.col("target").alias("parent_id"), F.col("pending").alias("any_parent"), F.lit(True).alias("allow_move"))
         found = level.join(lookup(wanted, index), "node_id", "left")
         where = index.select(F.col("id").alias("page_id"), F.nullif("parent_id", F.lit("")).alias("current_parent"))
@@ -119,7 +122,7 @@ def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_l
         rows = taken.withColumn("status", status)
         ok = F.col("status").isin("move", "update")
         rows = rows.select("node_id", "parent_node_id", "title", "status", F.when(ok, F.col("page_id")).alias("page_id"), F.when(ok, F.col("version")).alias("version"), F.col("target").alias("target_parent_id"), "depth", "pending")
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+        rows = _held(rows)
         if rows.isEmpty():
             break
         out = rows if out is None else out.unionByName(rows)
@@ -132,6 +135,11 @@ def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_l
     return out.drop("pending") if out is not None else nodes.limit(0).select("node_id", "parent_node_id", "title", F.lit("").alias("status"), F.lit("").alias("page_id"), F.lit(0).alias("version"), F.lit("").alias("target_parent_id"), F.lit(0).alias("depth"))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows that the next level starts from, without what led to them."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
 def descendants(index: DataFrame, root: str, depth: int = 0) -> DataFrame:
     """id, depth of the pages below ``root`` and itself, breadth first; ``depth`` 0 is no limit, cycles end."""
     level = index.where(F.col("id") == root).select("id", F.lit(0).alias("depth"))
@@ -141,7 +149,7 @@ def descendants(index: DataFrame, root: str, depth: int = 0) -> DataFrame:
     while not level.isEmpty() and (depth == 0 or n < depth):
         n += 1
         level = edges.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(n).alias("depth"))
-        level = level.join(seen.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        level = _held(level.join(seen.select("id"), "id", "left_anti").dropDuplicates(["id"]))
         seen = seen.unionByName(level)
     return seen
 

@@ -125,22 +125,35 @@ def contract_syntax(spark, sf_dir):
     return gates.introduced_syntax(d).where(F.size("broken") > 0).select("doc_id", F.array_join("broken", " ").alias("broken"))
 
 
-@query("SELECT e.doc_id AS doc_id, coalesce(g.n, 0) AS n, CASE WHEN g.n IS NULL THEN 'missing' WHEN e.d IS NULL THEN 'unknown' ELSE 'duplicate' END AS state FROM (SELECT doc_id AS d, doc_id FROM documents WHERE doc_id % 2 = 0) e LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0) GROUP BY doc_id) g ON g.doc_id = e.doc_id WHERE g.n IS NULL OR g.n > 1 UNION ALL SELECT l.doc_id, count(*), 'unknown' FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0) l WHERE l.doc_id % 2 = 1 GROUP BY l.doc_id")
+@query(
+    """WITH g AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE quality = 1) GROUP BY doc_id)
+    SELECT coalesce(d.doc_id, g.doc_id) AS doc_id, coalesce(g.n, 0) AS n, CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN g.n IS NULL THEN 'missing' ELSE 'duplicate' END AS state
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN g ON g.doc_id = d.doc_id WHERE d.doc_id IS NULL OR g.n IS NULL OR g.n > 1"""
+)
 def contract_coverage(spark, sf_dir):
-    given = table(spark, sf_dir, "labels").select("doc_id")
-    wanted = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
-    return gates.coverage(wanted, given.unionAll(given.where("doc_id % 10 = 0")), ["doc_id"])
+    given = table(spark, sf_dir, "labels")
+    return gates.coverage(table(spark, sf_dir, "documents"), given.select("doc_id").unionAll(given.where("quality = 1").select("doc_id")), ["doc_id"])
+
+
+@query(
+    """WITH m AS (SELECT lang, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM m)
+    SELECT lang, count(*) AS n, string_agg(CASE WHEN k <= 10 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS first FROM r GROUP BY lang"""
+)
+def first_missing(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    errors = table(spark, sf_dir, "documents").where("lang is not null").join(labels, "doc_id", "left_anti").select("lang", "doc_id")
+    return gates.first_errors(errors, "lang", "doc_id").withColumn("first", F.array_join("first", ","))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, true AS same FROM documents WHERE text IS NOT NULL")
 def deterministic_render_identity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return documents.rendered(docs).join(docs.select("doc_id", C.sha256(F.col("text")).alias("own")), "doc_id").select("doc_id", "sha256", (F.col("sha256") == F.col("own")).alias("same"))
+    return documents.rendered(table(spark, sf_dir, "documents").where("text is not null")).select("doc_id", "sha256", (F.col("sha256") == F.col("source_sha256")).alias("same"))
 
 
-@query("SELECT doc_id, 'XYZ' || substr(text, 4, 5) || '' || substr(text, 11) AS rendered, true AS valid FROM documents WHERE length(text) >= 20")
+@query("SELECT doc_id, CASE WHEN length(text) >= 10 THEN 'XYZ' || substr(text, 4, 5) || '' || substr(text, 11) END AS rendered, coalesce(length(text), 0) >= 10 AS valid FROM documents")
 def spliced_edits(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 20)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     edits = docs.select("doc_id", F.explode(F.array(F.struct(F.lit(8).alias("start"), F.lit(10).alias("end"), F.lit("").alias("value")), F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("XYZ").alias("value")))).alias("e")).select("doc_id", "e.*")
     return blocks.spliced(docs, edits)
 
@@ -161,11 +174,10 @@ def known_token_scan(spark, sf_dir):
     return secrets.known_tokens(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, CAST(length(text) AS INTEGER) AS chars, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' ELSE 'lf' END AS ending, length(text) - length(replace(text, '$', '')) AS dollars FROM documents WHERE NOT contains(text, chr(92))")
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, CAST(length(text) AS INTEGER) AS chars, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' ELSE 'lf' END AS ending, length(x) - length(replace(x, '$', '')) AS dollars FROM (SELECT *, regexp_replace(text, '(?s)\\\\.', '', 'g') AS x FROM documents)")
 def doc_scalars(spark, sf_dir):
     t = F.col("text")
-    rows = table(spark, sf_dir, "documents").where(~t.contains("\\"))
-    return rows.select("doc_id", C.sha256(t).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), C.translatable_chars(t).alias("chars"), F.when(C.line_ending(t) == "\r\n", "crlf").otherwise("lf").alias("ending"), C.unescaped_count(t, r"\$").cast("long").alias("dollars"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.sha256(t).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"), C.translatable_chars(t).alias("chars"), F.when(C.line_ending(t) == "\r\n", "crlf").otherwise("lf").alias("ending"), C.unescaped_count(t, r"\$").cast("long").alias("dollars"))
 
 
 @query("SELECT doc_id, t.x AS sign, CAST(length(text) - length(replace(text, t.x, '')) AS BIGINT) AS n FROM documents, (VALUES ('*'), ('|'), ('$'), ('_')) AS t(x) WHERE contains(text, t.x)")
@@ -217,10 +229,9 @@ def next_non_blank(spark, sf_dir):
     return lines.next_non_blank(_lines(spark, sf_dir)).select("doc_id", "number", F.col("next.content").alias("following"))
 
 
-@query(f"WITH {_LINES}, m AS (SELECT doc_id, number, content, (length(content) - length(replace(content, '$$', ''))) // 2 AS k FROM l WHERE NOT contains(content, chr(92))), p AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY number) - k AS before FROM m) SELECT doc_id, CAST(number AS INTEGER) AS number, before % 2 = 1 OR k > 0 AS in_formula FROM p")
+@query(f"WITH {_LINES}, e AS (SELECT doc_id, number, regexp_replace(content, '\\\\.', '', 'g') AS x FROM l), m AS (SELECT doc_id, number, (length(x) - length(replace(x, '$$', ''))) // 2 AS k FROM e), p AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY number) - k AS before FROM m) SELECT doc_id, CAST(number AS INTEGER) AS number, before % 2 = 1 OR k > 0 AS in_formula FROM p")
 def formula_line_parity(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where(~F.col("content").contains("\\"))
-    return lines.formula_parity(rows).select("doc_id", "number", "in_formula")
+    return lines.formula_parity(_lines(spark, sf_dir)).select("doc_id", "number", "in_formula")
 
 
 @query("SELECT conv_id, turn, role, coalesce(lag(text) OVER w, '') AS context_before, coalesce(lead(text) OVER w, '') AS context_after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -228,10 +239,11 @@ def conversation_context(spark, sf_dir):
     return blocks.context(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "role", "context_before", "context_after")
 
 
-@query("SELECT conv_id, turn, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations QUALIFY step <> 1")
+@query("SELECT conv_id, role, turn, turn - lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS step FROM conversations QUALIFY step <> 1")
 def version_gaps(spark, sf_dir):
-    step = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", step.alias("step")).where("step <> 1")
+    """Turns of a role that don't follow that role's last one directly."""
+    step = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", step.alias("step")).where("step <> 1")
 
 
 @query("SELECT conv_id AS batch, count(*) FILTER (role = 'user') AS succeeded, count(*) FILTER (role <> 'user') AS failed, bool_and(role = 'user') AS all_ok, coalesce(string_agg(CASE WHEN role <> 'user' THEN lpad(CAST(turn AS VARCHAR), 6, '0') END, ',' ORDER BY turn), '') AS failed_ids FROM conversations GROUP BY conv_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import documents, gates, lines, pages, secrets, state, wiki
+from ..operators import blocks, documents, gates, lines, pages, secrets, state, wiki
 from ..sources import files, rest, sinks
 from .catalog import expected, query, rows
 
@@ -570,3 +570,27 @@ def change_audit(spark, sf_dir):
 def markdown_spacing(spark, sf_dir):
     r = rows(spark, "id int, text string", [(1, "a$$x$$b"), (2, "| a |\nb")])
     return documents.repaired(r, "id").select("id", "isolated", "tables")
+
+
+# --- attachments, assets, contexts ----------------------------------------------------------------------------------
+
+
+@query(expected("page_id string, name string, action string, attachment_id string, link string", [("1", "a.png", "created", None, "/download/attachments/1/a.png"), ("1", "b.png", "update", "a7", "/download/attachments/1/b.png"), ("1", "c.png", "failed", None, None), ("2", "b.png", "failed", None, None), ("2", "d.png", "update", "a9", "/download/attachments/2/d.png")]))
+def attachment_uploads(spark, sf_dir):
+    uploads = rows(spark, "page_id string, name string, status int", [("1", "a.png", 200), ("1", "b.png", 400), ("1", "c.png", 409), ("2", "b.png", 500), ("2", "d.png", 409)])
+    return sinks.attachment_actions(uploads, rows(spark, "page_id string, attachment_id string, name string", [("1", "a7", "b.png"), ("1", "a8", "b.png"), ("2", "a5", "b.png"), ("2", "a9", "d.png")]))
+
+
+@query(expected("doc_id int, source string, target string, action string, files long", [(1, "s/Guide.assets", "out/Guide.assets", "copy", 2), (2, "s/None.assets", None, "none", 0), (3, "s/Own.assets", "s/Own.assets", "in place", 1), (4, "s/Old.assets", "out/Old.assets", "refused", 1)]))
+def asset_copies(spark, sf_dir):
+    d = rows(spark, "doc_id int, source string, output string", [(1, "s/Guide.md", "out/Guide.de.md"), (2, "s/None.md", "out/None.md"), (3, "s/Own.md", "s/Own.de.md"), (4, "s/Old.md", "out/Old.md")])
+    f = rows(spark, "path string", [("s/Guide.assets/x.png",), ("s/Guide.assets/sub/y.png",), ("s/Own.assets/z.png",), ("s/Old.assets/a",), ("out/Old.assets/a",), ("s/Guide.md",)])
+    return sinks.asset_plan(d, f)
+
+
+@query(expected("doc_id int, start int, kind string, context_before string, context_after string", [(1, 0, "unit", "", "r"), (1, 5, "region", "a", "b"), (1, 9, "unit", "r", "")]))
+def merged_context(spark, sf_dir):
+    u = rows(spark, "doc_id int, start int, value string", [(1, 9, "b"), (1, 0, "a")])
+    found = blocks.merged_context(u, rows(spark, "doc_id int, start int, value string", [(1, 5, "r")]))
+    return found.select("doc_id", "start", "kind", "context_before", "context_after")
+

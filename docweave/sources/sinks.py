@@ -45,6 +45,37 @@ def attachment_file(attachment_id: Column, name: Column) -> Column:
     return F.concat(F.regexp_replace(attachment_id, r"[^A-Za-z0-9_-]", ""), F.lit("_"), F.when(base.isin("", ".", ".."), "file").otherwise(base))
 
 
+def attachment_actions(uploads: DataFrame, existing: DataFrame) -> DataFrame:
+    """page_id, name, action, attachment_id, link for uploads (page_id, name, status of the attempt to create it).
+
+    A created attachment is done. Where the name is taken (400 or 409) the one that ``existing`` (page_id, attachment_id, name)
+    lists first gets the new data; without one, and after any other status, the upload failed.
+    """
+    have = existing.groupBy("page_id", "name").agg(F.min("attachment_id").alias("attachment_id"))
+    made, taken = F.col("status").between(200, 299), F.col("status").isin(400, 409) & F.col("attachment_id").isNotNull()
+    action = F.when(made, "created").when(taken, "update").otherwise("failed")
+    link = F.when(action != "failed", F.concat(F.lit("/download/attachments/"), F.col("page_id"), F.lit("/"), F.col("name")))
+    return uploads.join(have, ["page_id", "name"], "left").select("page_id", "name", action.alias("action"), F.when(taken, F.col("attachment_id")).alias("attachment_id"), link.alias("link"))
+
+
+def asset_plan(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, source, target, action, files: what happens to the assets folder beside each document (doc_id, source, output).
+
+    ``files`` (path) is all there is. Assets go beside the output under the source's name; a target that exists is neither
+    merged nor overwritten.
+    """
+    stem = F.regexp_extract("source", r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+    def folder(c: str) -> Column:
+        return F.concat(F.regexp_extract(c, r"^(.*/)?", 0), stem, F.lit(".assets"))
+
+    have = files.select(F.regexp_extract("path", r"^(.*?\.assets)/", 1).alias("folder")).where("folder <> ''").groupBy("folder").agg(F.count("*").alias("n"))
+    rows = docs.select("doc_id", folder("source").alias("source"), folder("output").alias("target"))
+    rows = rows.join(have.select(F.col("folder").alias("source"), "n"), "source", "left").join(have.select(F.col("folder").alias("target"), F.col("n").alias("m")), "target", "left")
+    action = F.when(F.col("n").isNull(), "none").when(F.col("source") == F.col("target"), "in place").when(F.col("m").isNotNull(), "refused").otherwise("copy")
+    return rows.select("doc_id", "source", F.when(action != "none", F.col("target")).alias("target"), action.alias("action"), F.coalesce("n", F.lit(0)).alias("files"))
+
+
 def audit(before: DataFrame, after: DataFrame, key: str = "page_id", column: str = "storage") -> DataFrame:
     """key, before, after, their hashes and whether anything changed."""
     b = before.select(key, F.col(column).alias("before"))

@@ -105,3 +105,20 @@ def test_merge_keeps_mixed_line_ends():
 def test_definition_tables_and_spacing():
     assert reflow.definition_tables(":   | a |\n    | b |\nx") == "| a |\n| b |\nx"
     assert reflow.table_spacing("| a |\nb") == "| a |\n\nb"
+
+
+def test_reserved_markers_are_rows_not_crashes(spark):
+    from docweave.operators import documents
+
+    d = spark.createDataFrame([(1, "text @@KEEP:1:1@@ here", "block-0001", "x"), (2, "fine", "block-0001", "x"), (3, None, "block-0009", "x")], "doc_id int, text string, block_id string, answer string")
+    assert {r["doc_id"]: bool(r["error"]) for r in documents.planned(d).collect()} == {1: True, 2: False}
+    assert {r["doc_id"]: r["accepted"] for r in documents.answers_checked(d).collect()} == {1: False, 2: False, 3: False}
+
+
+def test_packing_of_units_is_one_pass(spark):
+    from docweave.operators import blocks
+
+    sizes = [3, 4, 4, 9, 1, 2, 8, 30, 1]
+    u = spark.createDataFrame([(k, i, n) for k in (1, 2) for i, n in enumerate(sizes)], "doc_id int, unit int, chars int")
+    got = {(r["doc_id"], r["unit"]): r["block"] for r in blocks.pack(u, 10, ["doc_id"]).collect()}
+    assert [got[2, i] for i in range(9)] == [got[1, i] for i in range(9)] == [1, 1, 2, 3, 3, 4, 4, 5, 6]
