@@ -86,14 +86,14 @@ def output_names(pages: DataFrame, title: str = "title", longest: int = 80) -> D
 
     The first is the one whose canonical URL is smallest, so the outcome doesn't depend on arrival.
     """
-    base = C.file_name(F.col(title), longest)
-    canonical = C.canonical_url(F.col("url"))
-    rows = pages.select("page_id", base.alias("base"), canonical.alias("canonical"), F.col(title).alias("t"))
+    rows = pages.select("page_id", C.file_name(F.col(title), longest).alias("base"), C.canonical_url(F.col("url")).alias("canonical"), F.col(title).alias("t"))
     # The least of each name is aggregated before it is dealt out, so that a name of very many pages is one row of a task.
     least = rows.groupBy("base").agg(F.min(F.struct("canonical", "page_id")).alias("least"))
-    first = F.struct("canonical", "page_id") == F.col("least")
     suffix = F.concat(F.lit("-"), F.substring(C.sha256(F.col("canonical")), 1, 8))
-    return rows.join(least, "base").withColumn("first", first).select("page_id", F.when(F.col("first"), F.col("base")).otherwise(F.concat(C.file_name(F.col("t"), longest - 9), suffix)).alias("name"))
+    named = rows.join(least, "base").withColumn("first", F.struct("canonical", "page_id") == F.col("least"))
+    # The cut names of the others are made by a generator: with the join's expressions they exceed what one generated method may hold.
+    cut = named.select("page_id", "first", "base", F.inline(F.array(F.struct(F.concat(C.file_name(F.col("t"), longest - 9), suffix).alias("cut")))))
+    return cut.select("page_id", F.when(F.col("first"), F.col("base")).otherwise(F.col("cut")).alias("name"))
 
 
 def formula_passes(rows: DataFrame) -> DataFrame:

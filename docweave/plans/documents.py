@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import blocks, documents, gates, lines, report, secrets, state
+from . import scanner_sql as S
 from .catalog import query, table
 
 _LINES = """l0 AS (
@@ -169,7 +170,7 @@ def secret_scan(spark, sf_dir):
     return secrets.assignments(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(S.KNOWN_TOKENS)
 def known_token_scan(spark, sf_dir):
     return secrets.known_tokens(table(spark, sf_dir, "documents"))
 
@@ -197,23 +198,23 @@ def doc_blocks_scan(spark, sf_dir):
     return documents.planned(table(spark, sf_dir, "documents"), 2000)
 
 
-@query()
+@query(S.DOC_FORMULAS)
 def doc_formulas(spark, sf_dir):
     return documents.formulas(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(S.DOC_REPAIRS)
 def doc_repairs(spark, sf_dir):
     r = documents.repaired(table(spark, sf_dir, "documents"))
     return r.select("doc_id", C.sha256(F.col("unescaped")).alias("unescaped"), C.sha256(F.col("promoted")).alias("promoted"), F.size("promotions").alias("promotions"), C.sha256(F.col("merged")).alias("merged"), F.length("tables").alias("tables"), F.length("isolated").alias("isolated"))
 
 
-@query()
+@query(S.DOC_ISSUES)
 def doc_issues(spark, sf_dir):
     return gates.markdown_issues(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(S.DOC_VERDICTS)
 def doc_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return gates.verdict(docs, gates.markdown_issues(docs))

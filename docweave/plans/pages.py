@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import pages, state, wiki
 from ..sources import sinks
 from ..streaming import incremental
+from . import scanner_sql as S
 from .catalog import query, table
 
 _TITLE = "regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
@@ -41,6 +42,9 @@ def page_scope_prefix(spark, sf_dir):
 _NAV = "SELECT page_id, generate_subscripts(h, 1) AS ord, unnest(h) AS href, unnest(t) AS title FROM (SELECT page_id, regexp_extract_all(n, '<a href=\"([^\"]*)\">([^<]*)</a>', 1) AS h, regexp_extract_all(n, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) AS t FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS n FROM pages))"
 
 
+_NAV_KEY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), '(/index\\.html|/index|\\.html)$', ''), '/+$', '')"
+
+
 def _nav_links(spark, sf_dir):
     nav = F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1)
     pattern = F.lit('<a href="([^"]*)">([^<]*)</a>')
@@ -66,24 +70,24 @@ def page_output_name(spark, sf_dir):
     return pages.output_names(table(spark, sf_dir, "pages").withColumn("host", C.url_host(F.col("url"))), "host")
 
 
-@query()
+@query(S.PAGE_MARKDOWN)
 def page_markdown(spark, sf_dir):
-    return pages.markdown(table(spark, sf_dir, "pages"))
+    return pages.markdown(table(spark, sf_dir, "pages")).withColumn("images", F.array_join("images", "\n"))
 
 
-@query()
+@query(S.page_markdown_stats(_HOST, _PATH))
 def page_markdown_stats(spark, sf_dir):
     found = pages.markdown(table(spark, sf_dir, "pages"))
     rows = found.select(C.url_host(F.col("url")).alias("host"), F.regexp_extract(C.url_path(F.col("url")), "^/([a-z]{2})/", 1).alias("section"), F.length("markdown").alias("chars"), (F.col("title") == "untitled").cast("int").alias("untitled"), "formulas", "links")
     return rows.groupBy("host", "section").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("untitled").alias("untitled"), F.sum("formulas").alias("formulas"), F.sum("links").alias("links"))
 
 
-@query()
+@query(S.page_navigation(_NAV, _NAV_KEY))
 def page_navigation(spark, sf_dir):
     return pages.navigation_notes(table(spark, sf_dir, "pages")).select("page_id", "structure", "entries")
 
 
-@query()
+@query(S.page_files(_CANONICAL))
 def page_files(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     found = pages.markdown(p)
