@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from ..sources import sinks
 from ..streaming import incremental
 from . import scanner_sql as S
 from .catalog import query, table
+from .storage import shared_folder
 
 _TITLE = "regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
@@ -117,12 +115,7 @@ def retention(spark, sf_dir):
 @query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def stream_page_titles(spark, sf_dir):
     """The same titles through a stream that reads whatever is new, once. The path is a pattern, so that it may be a file or a folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + tempfile.mkdtemp()
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     source = incremental.stream(spark, f"{sf_dir}/pages.parque[t]", "page_id long, url string, html string")
     incremental.run(source, lambda p: p.select("page_id", pages.title_by_pattern(F.col("html")).alias("title")), f"{at}/out", f"{at}/state").awaitTermination()
     return spark.read.schema("page_id long, title string").parquet(f"{at}/out")

@@ -14,10 +14,15 @@ STATE = "schema_version int, source struct<path:string,sha256:string,bom:boolean
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """path, text, bom, sha256, valid of Markdown files. Invalid UTF-8 gives a null text and valid false, never a replacement."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    bom = F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    return decoded(raw.select("path", "content")).drop("content")
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """``rows`` with text, bom, sha256 and valid of their ``content``; the mark goes from the text and stays in the hash."""
+    bom = F.coalesce(F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf"), F.lit(False))
+    valid = F.coalesce(F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
     body = F.when(bom, F.expr("substr(content, 4)")).otherwise(F.col("content"))
-    return raw.select("path", F.when(valid, F.decode(body, "UTF-8")).alias("text"), bom.alias("bom"), F.sha2("content", 256).alias("sha256"), valid.alias("valid"))
+    return rows.select("*", F.when(valid, F.decode(body, "UTF-8")).alias("text"), bom.alias("bom"), F.sha2("content", 256).alias("sha256"), valid.alias("valid"))
 
 
 def read_state(spark: SparkSession, path: str, version: int = 5) -> DataFrame:
