@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import secrets
 from ..sources import files, sinks
 from .catalog import expected, query, rows, table
 
@@ -98,3 +99,20 @@ def config_options(spark, sf_dir):
             return None, None, "not a literal" if "malformed" in str(e) else str(e)
 
     return rows(spark, "id int, timeout int, max_block_chars int, error string", [(i, *read(source, environment)) for i, source, environment, _ in _CONFIGS])
+
+
+# Formats only: every value is a run of one letter or digit.
+_TOKENS = [
+    (1, "key: sk-" + "a" * 24 + " end", "openai", "sk-" + "a" * 24),
+    (2, "xsk-" + "a" * 24, None, None),
+    (3, "(ghp_" + "b" * 20 + ")", "github", "ghp_" + "b" * 20),
+    (4, "AKIA" + "C" * 16, "aws", "AKIA" + "C" * 16),
+    (5, "AKIA" + "C" * 15, None, None),
+    (6, ".".join(("eyJ" + "d" * 5, "d" * 5, "d" * 5)), "jwt", ".".join(("eyJ" + "d" * 5, "d" * 5, "d" * 5))),
+    (7, "bearer " + "e" * 20, "bearer", "bearer " + "e" * 20),
+]
+
+
+@query(expected("doc_id int, kind string, value string", [(i, kind, value) for i, _, kind, value in _TOKENS if kind]))
+def known_token_formats(spark, sf_dir):
+    return secrets.known_tokens(rows(spark, "doc_id int, text string", [(i, text) for i, text, _, _ in _TOKENS]))
