@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lmscore, minhash, mixing, packing, pii, quality, topk, urls, vecdedup
+from . import bpe, centroids, langid, lmscore, minhash, mixing, packing, phrases, pii, quality, topk, urls, vecdedup
 from .scratch import materialise, table
 
 
@@ -59,10 +59,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_embedding_dedup, op3_quality, op4_minhash_dedup, op5_lm_score, op6_url_filter, op7_language_id, op8_packing, op9_pii, op10_mixing)}
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = bpe.vocabulary()
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return bpe.digest(bpe.decode(ids, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_embedding_dedup, op3_quality, op4_minhash_dedup, op5_lm_score, op6_url_filter, op7_language_id, op8_packing, op9_pii, op10_mixing, op11_clustering, op12_collocations, op13_byte_bpe)}
 
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+def _lloyd(rounds: int) -> str:
+    """Assignments a0, a1, ... and centroids c1, c2, ... of Lloyd's rounds over x (id, i, x), from the centroids c0 (c, v)."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""
+        y{k} AS (SELECT c, unnest(v) AS y, unnest(range(64)) AS i FROM c{k}),
+        d{k} AS (SELECT id, c, sum((x - y) * (x - y)) AS d FROM x JOIN y{k} USING (i) GROUP BY id, c),
+        a{k} AS (SELECT id, min(c) AS c, any_value(d) AS d FROM (SELECT *, min(d) OVER (PARTITION BY id) AS least FROM d{k}) WHERE d = least GROUP BY id)""")
+        if k < rounds:
+            out.append(f"""
+        t{k} AS (SELECT c, i, sum(x) AS t, count(*) AS n FROM a{k} JOIN x USING (id) GROUP BY c, i),
+        m{k} AS (SELECT c, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM t{k} GROUP BY c),
+        c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c)""")
+    return ",".join(out)
+
+
 ORACLES = {
     "op1_topk_search": """
         WITH v AS (
@@ -92,4 +123,38 @@ ORACLES = {
         r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a)
         SELECT s.doc_id, len(s.s) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id
     """,
+    "op11_clustering": f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS id, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), x AS (SELECT id, unnest(v) AS x, unnest(range(64)) AS i FROM v),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+        {_lloyd(3)},
+        s AS (SELECT vec_id, a3.c AS c, d, sum(d) OVER (PARTITION BY a3.c) AS cd, sum(d) OVER () AS td FROM a3 JOIN v USING (id))
+        SELECT vec_id, CAST(s.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(cd AS BIGINT) AS cluster_inertia, CAST(td AS BIGINT) AS inertia,
+            sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+        FROM s JOIN c3 ON c3.c = s.c
+    """,
+    "op12_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^.,;:!?\\x0A-\\x0D]+')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM i, range(1, 5) AS t(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+        u AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+        s AS (
+            SELECT u.lang, u.phrase, a, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score, j
+            FROM u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1 : j], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[j + 1 : u.k], ' ')
+        ),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS q FROM s),
+        o AS (SELECT c.lang, c.a, array_to_string(c.w[m.i : m.i + m.k - 1], ' ') AS phrase FROM c, (SELECT x.i, y.k FROM range(1, 4) AS x(i), range(2, 4) AS y(k)) AS m WHERE m.k < c.k AND m.i + m.k - 1 <= c.k),
+        h AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY ALL),
+        r AS (
+            SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+            FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE q = 1 AND NOT coalesce(100 * longer >= 80 * a, false)
+        )
+        SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+    """,
 }
