@@ -1,4 +1,8 @@
-"""Folds over arrays that give something for each element, in linear work."""
+"""Folds over arrays that give something for each element.
+
+Appending copies an array, and so does cutting a part out of one. Both are held down by parts of about the square root of
+the number of elements: work grows with its power of 1.5, and linearly up to a few thousand elements.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PART = 64
+LEAST = 64
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -18,18 +22,19 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 def states(items: Column, start: Column, step: Callable[[Column, Column], Column], ddl: str) -> Column:
     """The state (of type ``ddl``) before each item and the one after the last: size(items) + 1 states.
 
-    Appending copies an array, so parts of 64 states are made on their own and joined at the end.
+    Parts of states are made on their own and joined at the end.
     """
+    part = F.greatest(F.lit(LEAST), F.ceil(F.sqrt(F.size(items))).cast("int"))
 
-    def one(part: Column, x: Column) -> Column:
-        return F.concat(part, F.array(step(F.element_at(part, -1), x)))
+    def one(own: Column, x: Column) -> Column:
+        return F.concat(own, F.array(step(F.element_at(own, -1), x)))
 
     def more(parts: Column, i: Column) -> Column:
         first = F.array(F.element_at(F.element_at(parts, -1), -1))
-        return F.concat(parts, F.array(F.aggregate(F.slice(items, i * PART + 1, F.lit(PART)), first, one)))
+        return F.concat(parts, F.array(F.aggregate(F.slice(items, i * part + 1, part), first, one)))
 
     begin = F.array(F.array(start.cast(ddl)))
-    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))).otherwise(F.array().cast("array<int>"))
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / part).cast("int"))).otherwise(F.array().cast("array<int>"))
     parts = F.aggregate(numbers, begin, more)
     # Each part begins with the state that the one before ended with.
     return F.concat(F.flatten(F.transform(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))), F.slice(F.element_at(parts, -1), -1, 1))

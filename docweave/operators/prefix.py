@@ -23,7 +23,7 @@ CHUNK = "__chunk"
 
 
 def chunked(rows: DataFrame, order: str, width: int) -> DataFrame:
-    return rows.withColumn(CHUNK, F.floor(F.col(order) / width).cast("long"))
+    return rows.withColumn(CHUNK, F.expr(f"cast(`{order}` as bigint) div {width}L"))
 
 
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -88,17 +88,17 @@ def _next(before: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
     return np.maximum(np.searchsorted(end, before + limit, "right"), np.arange(len(size)) + 1)
 
 
-def packed(units: DataFrame, keys: Sequence[str], order: str, limit: int, size: str = "chars", wide: int = 64) -> DataFrame:
+def packed(units: DataFrame, keys: Sequence[str], order: str, limit: int, size: str = "chars", wide: int = 64, width: int = 4096) -> DataFrame:
     """``units`` with ``block``, from 1 on in each group: a block closes before the unit that would take it over ``limit``.
 
     The serial rule in parallel: chunks hold about ``wide`` limits' worth of units. How a chunk goes on depends only on the
     room that its first block finds taken, and only through the unit at which that block closes, one of the units within
     the first ``limit``. So the table of a chunk has an entry for each of these, and tables are combined in order of chunks.
-    Sizes are integers of 0 or more; null counts as 0.
+    Sizes are integers of 0 or more; null counts as 0. ``width`` is that of the running sum of sizes.
     """
     n = F.coalesce(F.col(size).cast("long"), F.lit(0))
     # Chunks are cut by size, counting every unit as one more, so that units of no size can't fill one.
-    placed = running_sum(units.withColumn("__size", n), keys, order, n + 1, "__end")
+    placed = running_sum(units.withColumn("__size", n), keys, order, n + 1, "__end", width)
     placed = placed.withColumn(CHUNK, F.floor((F.col("__end") - 1) / (wide * (limit + 1))).cast("long"))
     fields = StructType([placed.schema[k] for k in keys])
     groups = [*keys, CHUNK]

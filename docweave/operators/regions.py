@@ -2,7 +2,7 @@
 
 All delimiters of a text come out in one pass: fence lines, runs of backticks, dollar signs, each with the backslashes
 before it. A state machine runs over them in parts (``fold.states``); what a delimiter does follows from the state before
-it. Work is linear in a text but for one sort of its backtick runs, whatever is nested or left open.
+it. Nothing is rescanned, whatever is nested or left open.
 """
 
 from __future__ import annotations
