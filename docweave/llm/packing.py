@@ -4,7 +4,8 @@ A bin has a vector of capacities: tokens, pieces, and attention cost. The cost o
 ``tile`` by ``tile`` positions that block-diagonal attention computes for it, so a short piece costs more than its share of
 tokens: neither the second nor the third capacity follows from the first. Pieces come longest first; each goes to the
 open bin, among those that fit it in every capacity, whose weighted residual vector would be shortest afterwards, ties to
-the bin opened first. All open bins are compared at once, so the choice is exact.
+the bin opened first. All open bins are compared at once, so the choice is exact. Where the second and third capacity would
+cost more than one sequence in a hundred, as with many tiny pieces, they are doubled until they don't (``fitted``).
 
 Pieces are dealt to cells of a bounded number of pieces, packed each in one task, by their number in a written table: a
 repeated or null id is no hot key. A cell wastes part of one bin at most more than a single packing of all would, and any
@@ -14,7 +15,7 @@ number of cells run side by side.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,10 @@ def vocabulary() -> str:
 @dataclass(frozen=True)
 class Params:
     tokens: int = 2048
-    pieces: int = 256  # of a sequence; 2048 could never bind
+    pieces: int = 256  # of a sequence, at first; 2048 could never bind
     tile: int = 64
-    cost: int = 1028  # tiles of a sequence: one longest piece (1024) and four of a tile; short pieces alone could need 2048
+    cost: int = 1028  # tiles of a sequence, at first: one longest piece (1024) and four of a tile; short pieces alone could need 2048
+    loss: float = 0.01  # share of sequences that the second and third capacity may cost before they are doubled
     weights: tuple[float, float, float] = (1.0, 1.0, 1.0)  # of the residual tokens, pieces and cost, each as a share
     end_id: int = 0
     cell: int = 4096
@@ -109,6 +111,28 @@ def best_fit(lengths: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, np.
     return bins, offsets
 
 
+def fitted(lengths: np.ndarray, p: Params = Params()) -> tuple[np.ndarray, np.ndarray]:
+    """``best_fit`` under the tightest capacities of ``p``, doubled once or more, that cost at most ``loss`` of the sequences.
+
+    Pieces and cost are held down to keep sequences alike, not to need more of them: where small pieces abound, the two
+    capacities give way. The least number is that of the tokens alone, and where that isn't reached, of a fit by tokens.
+    """
+    found, least = best_fit(lengths, p), None
+    while len(lengths):
+        made = int(found[0].max()) + 1
+        if made <= (1 + p.loss) * -(-int(lengths.sum()) // p.tokens):
+            break
+        free = replace(p, pieces=p.tokens, cost=max(p.cost, int(p.tiles(np.array([p.tokens]))[0]), p.tokens))
+        if least is None:
+            open_ = best_fit(lengths, free)
+            least = int(open_[0].max()) + 1
+        if made <= (1 + p.loss) * least:
+            break
+        p = replace(p, pieces=min(2 * p.pieces, free.pieces), cost=min(2 * p.cost, free.cost))
+        found = open_ if (p.pieces, p.cost) == (free.pieces, free.cost) else best_fit(lengths, p)
+    return found
+
+
 def pack(pieces: DataFrame, p: Params = Params()) -> DataFrame:
     """``pieces`` (doc_id, piece, length and other columns) with sequence_id and offset.
 
@@ -128,7 +152,7 @@ def pack(pieces: DataFrame, p: Params = Params()) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            bins, offsets = best_fit(t.column("length").to_numpy(), p)
+            bins, offsets = fitted(t.column("length").to_numpy(), p)
             yield pa.RecordBatch.from_arrays([*(t.column(c) for c in names), pa.array((last << 24) + bins), pa.array(offsets)], [*names, "sequence_id", "offset"])
 
         for batch in batches:

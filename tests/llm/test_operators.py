@@ -515,6 +515,21 @@ def test_best_fit_equals_a_plain_one_and_every_capacity_binds():
         packing.best_fit(np.array([11]), packing.Params(tokens=10))
 
 
+def test_capacities_give_way_to_small_pieces(spark):
+    p = packing.Params()
+    used = lambda found: int(found[0].max()) + 1
+    for lengths in (np.full(4096, 2), np.full(4096, 3), np.full(4096, 1), np.append(np.full(3096, 2), np.full(1000, 2048)), np.full(300, 1100)):
+        tokens_alone = used(packing.best_fit(lengths, packing.Params(pieces=2048, cost=2048)))
+        found = packing.fitted(lengths, p)
+        assert used(found) <= 1.01 * tokens_alone
+        room = np.bincount(found[0], lengths)
+        assert room.max() <= 2048 and room.sum() == lengths.sum()
+    mixed = np.random.RandomState(2).randint(1, 900, 4096)
+    assert (packing.fitted(mixed, p)[0] == packing.best_fit(mixed, p)[0]).all()
+    found = packing.pack_documents(docs(spark, ["word"] * 8192), packing.vocabulary())
+    assert found.select("sequence_id").distinct().count() <= 9
+
+
 def test_packing_is_near_the_least_number_and_ignores_hot_ids(spark):
     rng = np.random.RandomState(6)
     d = docs(spark, ["word " * int(n) for n in rng.randint(1, 900, 400)], [None] * 200 + [7] * 200)
