@@ -2,11 +2,11 @@
 
 1. Sketches. Every chunk of texts counts its phrases by hash in two rows of counters; the rows are cut into ranges of
    2^20 counters, packed as gaps and counts, and summed range by range. The smaller of a phrase's two counters bounds its
-   frequency from above, so one bit a counter (is it at least ``min_count``?) tells which phrases can be frequent. Longer
-   phrases are counted only where all their pairs can be frequent. The number of counters follows the corpus up to
+   frequency from above, so one bit a counter (is it at least ``min_count``?) tells which phrases can be frequent, single
+   words among them. Longer phrases are counted only where all their pairs can be frequent. The number of counters follows the corpus up to
    ``max_bits``; the broadcast bits are so bounded (2^max_bits / 8 bytes a row), and beyond that only more candidates
    pass, never fewer.
-2. Scan. In each chunk the phrases that pass are compiled into one Aho-Corasick automaton. Words are guarded by blanks and
+2. Scan. In each chunk the phrases that pass, and the words in them, are compiled into one Aho-Corasick automaton. Words are guarded by blanks and
    pieces end in a line feed, so `` the of `` matches whole words inside one piece alone, and overlapping matches all
    count. Chunks return one row per language and phrase: an automaton and its counts follow the chunk, not the corpus,
    and texts are never shuffled.
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ class Params:
     scale: int = 2_000_000
     top: int = 2000
     chunk: int = 1 << 23  # bytes of text compiled and scanned together; a longer text is a chunk of its own
+    bucket: int = 1 << 24  # bytes of texts for each bucket in which phrases are summed
+    held: int = 500_000  # counts that wait to be summed in a task; twice as many sums leave it
     min_bits: int = RANGE
     max_bits: int = 28
     bytes_per_counter: int = 24
@@ -125,7 +128,10 @@ class Filter:
         return ok
 
     def candidates(self, grams: Grams, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For k = 2, 3, ...: k, and positions and hashes of the phrases of k words that can be frequent as far as is known."""
+        """For k = 2, 3, ...: k, and positions and hashes of the phrases of k words that can be frequent as far as is known.
+
+        Once pairs are known, also k = 1: the words inside such pairs, or all that pass where words are known themselves.
+        """
         good, known = np.zeros(0, bool), 0  # where the longest phrases with bits, of ``known`` words, pass
         for k in range(2, longest + 1):
             at = grams.places(k)
@@ -137,6 +143,13 @@ class Filter:
                 at, h = at[ok], h[ok]
                 good, known = np.zeros(len(grams.hash) + 1, bool), k
                 good[at] = True
+            if k == 2 and 2 in self.rows:
+                single = np.flatnonzero(good[:-1] | np.append(False, good[:-2])) if 1 not in self.rows and len(grams.hash) else grams.places(1)
+                own = grams.phrases(single, 1)
+                if 1 in self.rows:
+                    ok = self.passes(1, own)
+                    single, own = single[ok], own[ok]
+                yield 1, single, own
             yield k, at, h
 
 
@@ -164,7 +177,7 @@ def sketch(texts: DataFrame, words: tuple[int, ...], known: Filter, p: Params) -
             out: list[tuple[int, int, int, bytes]] = []
             held: dict[int, list[np.ndarray]] = {k: [] for k in words}
             for lang, text in chunk.items():
-                for k, _, h in shared.value.candidates(Grams(text, lang), max(words)):
+                for k, _, h in shared.value.candidates(Grams(text, lang), max(2, *words)):
                     if k in held:
                         held[k].append(h)
             for k in words:
@@ -207,28 +220,68 @@ def sketch(texts: DataFrame, words: tuple[int, ...], known: Filter, p: Params) -
     return Filter(bits, rows)
 
 
-def counted(texts: DataFrame, found: Filter, p: Params) -> DataFrame:
-    """(lang, phrase, words, f): exact frequencies of the words and phrases that can be frequent; '' has all words."""
+def _planes(counts: np.ndarray) -> bytes:
+    return np.concatenate([counts >> (8 * i) & 255 for i in range(5)]).astype(np.uint8).tobytes()
+
+
+def _counts(planes: bytes) -> np.ndarray:
+    return sum(x.astype(np.int64) << (8 * i) for i, x in enumerate(np.frombuffer(planes, np.uint8).reshape(5, -1)))
+
+
+class Totals:
+    """Counts by language and phrase that are added up as they come, compacted after every ``room`` new ones."""
+
+    def __init__(self, room: int):
+        self.room, self.tables, self.waiting = room, [], 0
+
+    def add(self, table: pa.Table) -> None:
+        self.tables.append(table)
+        self.waiting += table.num_rows
+        if self.waiting > self.room:
+            self.compact()
+
+    def compact(self) -> pa.Table:
+        """All so far; stays held."""
+        t = pa.concat_tables(self.tables).group_by(["lang", "phrase"]).aggregate([("f", "sum"), ("bucket", "min")])
+        self.tables, self.waiting = [t.rename_columns(["lang", "phrase", "f", "bucket"])], 0
+        return self.tables[0]
+
+    def rows(self) -> int:
+        return sum(t.num_rows for t in self.tables)
+
+
+def counted(texts: DataFrame, found: Filter, size: int, p: Params) -> DataFrame:
+    """(lang, phrase, words, f): exact frequencies of the words and phrases that can be frequent; '' has all words.
+
+    A task adds up its chunks, within bounded memory, and returns one row for each language and bucket of phrases, with the
+    phrases in order and their counts. Buckets follow the corpus; a bucket is summed as its rows arrive.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(found)
+    buckets = max(64, size // p.bucket)
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        t = t.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")]).combine_chunks()
+        lang, bucket = t["lang"].combine_chunks().dictionary_encode(), t["bucket"].to_numpy()
+        group = bucket * len(lang.dictionary) + lang.indices.to_numpy()
+        cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group)).tolist()
+        phrase, f = t["phrase"].to_pylist(), t["f"].to_numpy()
+        parts = list(zip(cut[:-1], cut[1:], strict=True))
+        columns = [pa.array(bucket[cut[:-1]]), t["lang"].take(pa.array(cut[:-1])).combine_chunks(), pa.array(["\n".join(phrase[a:b]) for a, b in parts]), pa.array([_planes(f[a:b]) for a, b in parts])]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "lang", "phrases", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        held = Totals(p.held)
         for chunk in chunks(batches, p.chunk):
             for lang, text in chunk.items():
                 grams = Grams(text, lang)
-                keys, words = [], []
-                covered = np.zeros(len(grams.hash), bool)
+                keys, hashes = [], [np.zeros(0, U64)]
                 for k, at, h in shared.value.candidates(grams, p.longest):
-                    if k == 2:
-                        covered[at] = covered[at + 1] = True
-                    at = at[np.unique(h, return_index=True)[1]]
+                    h, first = np.unique(h, return_index=True)
+                    at = at[first]
+                    hashes.append(h)
                     keys += [text[a:b].decode() for a, b in zip((grams.starts[at] - 1).tolist(), (grams.ends[at + k - 1] + 1).tolist(), strict=True)]
-                    words += [k] * len(at)
-                single = np.flatnonzero(covered)
-                single = single[np.unique(grams.hash[single], return_index=True)[1]]
-                keys += [text[a:b].decode() for a, b in zip((grams.starts[single] - 1).tolist(), (grams.ends[single] + 1).tolist(), strict=True)]
-                words += [1] * len(single)
                 counts = np.zeros(0, np.int64)
                 if keys:
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -237,12 +290,38 @@ def counted(texts: DataFrame, found: Filter, p: Params) -> DataFrame:
                     automaton.make_automaton()
                     hits = np.fromiter((i for _, i in automaton.iter(text.decode())), np.int32)
                     counts = np.bincount(hits, minlength=len(keys))
-                names = [x[1:-1] for x in keys] + [""]
-                total = np.append(counts, len(grams.hash))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names, pa.string()), pa.array([*words, 0], pa.int32()), pa.array(total, pa.int64())], ["lang", "phrase", "words", "f"])
+                bucket = np.append((np.concatenate(hashes) >> U64(20)) % U64(buckets), U64(0)).astype(np.int64)
+                names = pa.array([*(x[1:-1] for x in keys), ""], pa.string())
+                held.add(pa.table({"lang": pa.array([lang] * len(names), pa.string()), "phrase": names, "f": np.append(counts, len(grams.hash)).astype(np.int64), "bucket": bucket}))
+            if held.rows() > 2 * p.held:
+                yield told(held.compact())
+                held = Totals(p.held)
+        if held.tables:
+            yield told(held.compact())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = Totals(p.held), None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = held.compact()
+            words = pc.if_else(pc.equal(t["phrase"], ""), 0, pc.add(pc.count_substring(t["phrase"], " "), 1)).cast(pa.int32())
+            t = t.append_column("words", words)
+            t = t.filter(pc.or_(pc.greater_equal(t["f"], p.min_count), pc.equal(t["words"], 0)))
+            yield from t.select(["lang", "phrase", "words", "f"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            for bucket, lang, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held.tables and bucket != now:
+                    yield from done()
+                    held = Totals(p.held)
+                now = bucket
+                names = phrases.split("\n")
+                held.add(pa.table({"lang": pa.array([lang] * len(names), pa.string()), "phrase": pa.array(names, pa.string()), "f": _counts(counts), "bucket": np.full(len(names), bucket)}))
+        if held.tables:
+            yield from done()
 
-    parts = texts.mapInArrow(scan, "lang string, phrase string, words int, f long")
-    return parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(f"f >= {p.min_count} or words = 0")
+    lists = texts.mapInArrow(scan, "bucket long, lang string, phrases string, counts binary")
+    return lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, phrase string, words int, f long")
 
 
 def scored(counts: DataFrame, p: Params) -> DataFrame:
@@ -290,10 +369,9 @@ def collocations(docs: DataFrame, p: Params = Params()) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(p.max_bits, max(p.min_bits, (size // p.bytes_per_counter).bit_length()))
     found = Filter(bits, {})
-    for words in ((2,), tuple(range(3, p.longest + 1))):
-        if words:
-            found = sketch(texts, words, found, p)
-    counts = materialise(counted(texts, found, p), "phrase-counts")
+    for words in ((2,), (1, *range(3, p.longest + 1))):
+        found = sketch(texts, words, found, p)
+    counts = materialise(counted(texts, found, size, p), "phrase-counts")
     n = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     kept = scored(counts, p).join(contained(counts, p), ["lang", "phrase"], "left_anti")
     top = ranked(kept, p)
