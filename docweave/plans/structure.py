@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import nesting
 from ..functions.urljoin import url_join
-from ..operators import lines, prefix, regions, spans, trees
+from ..operators import prefix, regions, spans, trees
+from ..sources import files
 from .catalog import query, table
 
 # --- pages ----------------------------------------------------------------------------------------------------------
@@ -66,6 +67,29 @@ def page_links_absolute(spark, sf_dir):
     return rows.select("page_id", (F.col("i") + 1).alias("ord"), "href", url_join(F.col("url"), F.col("href")).alias("absolute"), url_join(F.col("url"), above).alias("beside"))
 
 
+_PLAIN = "NOT regexp_matches(html, '[^\\x00-\\x7F]')"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, page_id % 5 AS k, CASE WHEN page_id % 5 = 4 THEN regexp_replace(html, '[^\\x00-\\x{{FF}}]', '?', 'g') ELSE html END AS html FROM pages)
+    SELECT page_id, CASE WHEN k = 0 THEN 'utf-8' WHEN k = 2 THEN 'utf-16le' WHEN k = 3 THEN 'utf-16be' WHEN {_PLAIN} THEN 'us-ascii' WHEN k = 1 THEN 'utf-8' ELSE 'windows-1252' END AS encoding,
+        CASE WHEN k IN (0, 2) THEN 'mark' WHEN k = 3 THEN 'zeros' WHEN k = 1 OR {_PLAIN} THEN 'bytes' ELSE 'rest' END AS reason, sha256(html) AS sha256 FROM p
+""")
+def page_encodings(spark, sf_dir):
+    """Pages as bytes in five encodings, two of them without a mark, most with a declaration that is wrong; read back as texts."""
+    k, html = F.pmod("page_id", F.lit(5)), F.col("html")
+    latin = F.encode(F.regexp_replace(html, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    made = (
+        F.when(k == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(html, "UTF-8")))
+        .when(k == 1, F.encode(html, "UTF-8"))
+        .when(k == 2, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")))
+        .when(k == 3, F.encode(html, "UTF-16BE"))
+        .otherwise(latin)
+    )
+    found = files.decoded_pages(table(spark, sf_dir, "pages").select("page_id", made.alias("content")))
+    return found.select("page_id", "encoding", "reason", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+
+
 # --- regions --------------------------------------------------------------------------------------------------------
 
 _MARKED = [("&&&", "`"), ("%%%", "``"), ("###", "\n```\n"), ("***", "\\$"), (" the ", " `the` "), (" de ", " $d"), (" und ", " `` ")]

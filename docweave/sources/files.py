@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import encoding
+
 STATE = "schema_version int, source struct<path:string,sha256:string,bom:boolean>, units array<struct<id:string,kind:string,start:int,end:int,line_start:int,line_end:int,source_text:string,template:string,section:string>>"
 
 
@@ -25,6 +27,19 @@ def decoded(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.when(valid, F.decode(body, "UTF-8")).alias("text"), bom.alias("bom"), F.sha2("content", 256).alias("sha256"), valid.alias("valid"))
 
 
+def decoded_pages(rows: DataFrame, content: str = "content") -> DataFrame:
+    """``rows`` with encoding, reason and html of their bytes: pages in whatever encoding they came; null bytes give nulls."""
+    found = rows.withColumn("__found", encoding.detected(F.col(content)))
+    html = encoding.text_of(F.col(content), F.col("__found"))
+    return found.withColumns({"encoding": F.col("__found.encoding"), "reason": F.col("__found.reason"), "html": html}).drop("__found")
+
+
+def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
+    """path, encoding, reason, html of the pages below a folder."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return decoded_pages(raw.select("path", "content")).drop("content")
+
+
 def read_state(spark: SparkSession, path: str, version: int = 5) -> DataFrame:
     """Extraction states from JSON with an explicit schema; rows of another schema version are left out."""
     return spark.read.schema(STATE).option("multiLine", "true").json(path).where(F.col("schema_version") == version)
