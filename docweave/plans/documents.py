@@ -159,13 +159,19 @@ def spliced_edits(spark, sf_dir):
     return blocks.spliced(docs, edits)
 
 
-_SECRET = secrets.DIALECTS["page"][0].replace("'", "''")
-
-
-@query(
-    f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SECRET}', 1)) AS name, concat(unnest(regexp_extract_all(text, '{_SECRET}', 2)), unnest(regexp_extract_all(text, '{_SECRET}', 3)), unnest(regexp_extract_all(text, '{_SECRET}', 4))) AS value FROM documents)
-    SELECT doc_id, lower(name) AS name, value FROM m WHERE trim(value) <> '' AND NOT regexp_matches(lower(value), '^<.*>$|\\$\\{{|placeholder|your[-_]|example|fixture|(test|env|file|sample)-token|^no-?check$')"""
-)
+_SECRETS = rf"""
+    -- Every sign of assignment for itself: what stands before it is cut into parts and compared with words, what follows is read as a value.
+    WITH p AS (SELECT doc_id, text, generate_subscripts(g, 1) AS i, unnest(g) AS part FROM (SELECT doc_id, text, regexp_split_to_array(text, '[:=]') AS g FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT doc_id, part, substr(text, CAST(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) + 1 AS BIGINT)) AS rest, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS more FROM p),
+    n AS (SELECT doc_id, lower(regexp_extract(rtrim(rtrim(part, ' ' || chr(9)), '"' || chr(39)), '[A-Za-z0-9_-]+$')) AS name, ltrim(rest, ' ' || chr(9)) AS rest FROM s WHERE more IS NOT NULL),
+    w AS (SELECT *, string_split(replace(name, '-', '_'), '_') AS words FROM n),
+    f AS (SELECT * FROM w WHERE len(list_intersect(words, ['token', 'secret', 'password', 'passwd', 'apikey'])) > 0 OR contains('_' || array_to_string(words, '_') || '_', '_api_key_')),
+    v AS (SELECT doc_id, name, CASE WHEN starts_with(rest, '"') THEN string_split(rest, '"')[2] WHEN starts_with(rest, chr(39)) THEN string_split(rest, chr(39))[2] ELSE regexp_extract(rest, '^[^ \t\r\n\f\v,;#`"'']+') END AS value FROM f)
+    SELECT doc_id, name, value FROM v WHERE trim(value) <> '' AND NOT (starts_with(value, '<') AND ends_with(value, '>')) AND NOT contains(value, '${{') AND NOT regexp_matches(lower(value), 'placeholder|your[-_]|example|fixture|(test|env|file|sample)-token|^no-?check$')
+"""
+
+
+@query(_SECRETS)
 def secret_scan(spark, sf_dir):
     return secrets.assignments(table(spark, sf_dir, "documents"))
 

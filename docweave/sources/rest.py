@@ -17,10 +17,16 @@ class IncompleteResults(RuntimeError):
 
 
 def collect_pages(fetch: Callable[[str], dict], url: str, limit: int = 200) -> Iterator[dict]:
-    """All results of a paginated resource: ``_links.next`` is followed; without it pages are asked for until one is empty."""
-    start, linked = 0, False
+    """All results of a paginated resource: ``_links.next`` is followed; without it pages are asked for until one is empty.
+
+    A link back to a page that was there before would never end and is refused.
+    """
+    start, linked, seen = 0, False, set()
     at: str | None = f"{url}{'&' if '?' in url else '?'}start=0&limit={limit}"
     while at is not None:
+        if at in seen:
+            raise IncompleteResults(f"{at} is linked again")
+        seen.add(at)
         body = fetch(at)
         results = body.get("results")
         if not isinstance(results, list):

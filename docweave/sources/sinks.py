@@ -26,8 +26,8 @@ def nav_block(entries: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def export_files(pages: DataFrame) -> DataFrame:
-    """path, content of exported pages (page_id, title, when, markdown); each page once."""
-    once = pages.dropDuplicates(["page_id"])
+    """path, content of exported pages (page_id, title, when, markdown); each page once, as it was last, equal times by title."""
+    once = pages.groupBy("page_id").agg(F.max(F.struct("when", "title", "markdown")).alias("x")).select("page_id", "x.*")
     name = C.export_name(F.col("title"))
     return once.select(F.concat("page_id", F.lit("_"), name, F.lit("/"), name, F.lit(".md")).alias("path"), F.concat(C.front_matter(F.col("title"), F.col("when")), "markdown").alias("content"))
 
