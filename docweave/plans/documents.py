@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import blocks, documents, gates, lines, report, secrets, state
+from ..sources.shared import shared_folder
+from ..streaming import incremental, keyed
 from . import scanner_sql as S
 from .catalog import query, table
 
@@ -257,3 +259,20 @@ def version_gaps(spark, sf_dir):
 def batch_outcome(spark, sf_dir):
     r = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("batch"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("id"), (F.col("role") == "user").alias("ok"))
     return state.outcome(r).withColumn("failed_ids", F.array_join("failed_ids", ","))
+
+
+@query(
+    """WITH c AS (SELECT conv_id AS region_id, turn AS event_no, CASE WHEN role = 'assistant' THEN 'accepted' ELSE 'rejected' END AS decision FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+    a AS (SELECT region_id, count(*) AS attempts, max(event_no) AS event_no, arg_max(decision, event_no) AS decision, max(event_no) FILTER (WHERE decision = 'accepted') AS accepted FROM c GROUP BY region_id)
+    SELECT a.region_id, attempts, a.event_no, a.decision, CAST(count(c.region_id) AS BIGINT) AS pending FROM a LEFT JOIN c ON c.region_id = a.region_id AND c.decision = 'rejected' AND c.event_no > coalesce(accepted, -1) GROUP BY ALL"""
+)
+def stream_decisions(spark, sf_dir):
+    """Conversations as a stream of questions (open) and answers (accepted): the state that each of them ends in."""
+    at = shared_folder(spark, "decisions")
+    turns = incremental.stream(spark, f"{sf_dir}/conversations.parque[t]", "conv_id long, turn long, role string, text string")
+    decision = F.when(F.col("role") == "assistant", "accepted").otherwise("rejected")
+    events = turns.select(F.col("conv_id").alias("region_id"), F.col("turn").alias("event_no"), decision.alias("decision"))
+    keyed.run_decisions(spark, events, f"{at}/out", f"{at}/state").awaitTermination()
+    rows = spark.read.schema(keyed.OUTPUT.format(key="long")).parquet(f"{at}/out")
+    last = rows.groupBy("region_id").agg(F.max_by(F.struct("attempts", "event_no", "decision", "pending"), "version").alias("x"))
+    return last.select("region_id", "x.*")
