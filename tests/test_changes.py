@@ -68,5 +68,5 @@ def test_conditions_reach_the_resource_and_hold_anyway(spark, source):
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     assert "space=A&from_version=2" in (source / "log").read_text()
-    assert options(spark.read).where("space = 'A' and version > 1").count() == 6
+    assert options(spark.read).where("space = 'A' and version > 1").count() == 7
     assert options(spark.read).agg(F.count("*")).first()[0] == 27
