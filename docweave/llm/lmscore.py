@@ -9,10 +9,13 @@ Words and pairs are known by 64-bit hashes and counted apart, so the tables grow
 
 1. Texts are cut into chunks of about ``tokens`` tokens. A chunk sends its distinct words and pairs with their counts to
    buckets of the hash, once each, so a frequent one is one entry per chunk.
-2. A bucket adds up what it got and answers each chunk with the corpus counts of the chunk's own words and pairs.
-3. The chunk's texts meet the answers of all buckets and are scored.
+2. A bucket adds up what it got and answers each chunk with the corpus counts of the chunk's own words and pairs. Its own
+   totals (distinct words, tokens, texts) are summed over all buckets to one row.
+3. The chunk's texts meet their answers and that row, and are scored.
 
-The number of buckets follows the size of the texts.
+The number of buckets follows the size of the texts, so a bucket's share of the corpus doesn't. A chunk has a row for a bucket
+only where it has words or pairs for it: there are never more rows than entries, which follow the corpus, however many
+chunks and buckets there are.
 """
 
 from __future__ import annotations
@@ -90,7 +93,8 @@ def _found(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 ASKED = "chunk long, bucket int, texts long, target_texts long, words int, keys binary, counts binary, own binary"
-ANSWERED = "chunk long, bucket int, vocabulary long, tokens long, target_tokens long, texts long, target_texts long, words int, counts binary, own binary"
+ANSWERED = "chunk long, bucket int, words int, counts binary, own binary"
+TOTALS = "vocabulary long, tokens long, target_tokens long, texts long, target_texts long"
 SCORED = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
 
 
@@ -101,7 +105,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _asked(bits: int, p: Params):
-    """Chunks of the texts: a row of words and pairs for each of the 2^bits buckets, and one of the texts themselves."""
+    """Chunks of the texts: a row of words and pairs for each of the 2^bits buckets that has some, and one of the texts themselves."""
 
     def rows(parts: list[pa.RecordBatch], found: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,15 +118,15 @@ def _asked(bits: int, p: Params):
             for part in parts:
                 out.write_batch(part)
         yield _batch(ASKED, [(chunk, apart, 0, 0, 0, None, None, sink.getvalue().to_pybytes())])
-        edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
-        cut = [np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]) for keys in c.keys]
+        high = [keys >> U64(64 - bits) for keys in c.keys]
         n = [c.counts(0), c.counts(1)]
-        texts, target_texts = int((c.docs > 0).sum()), int(((c.docs > 0) & c.target).sum())
-        for b in range(1 << bits):
-            own = [slice(cut[k][b], cut[k][b + 1]) for k in (0, 1)]
+        told = (int((c.docs > 0).sum()), int(((c.docs > 0) & c.target).sum()))  # once a chunk
+        for b in np.union1d(*high):
+            own = [slice(int(np.searchsorted(x, b)), int(np.searchsorted(x, b, "right"))) for x in high]
             keys = np.concatenate([_steps(c.keys[k][own[k]]) for k in (0, 1)])
             count = np.concatenate([n[k][i, own[k]] for i in (0, 1) for k in (0, 1)])
-            yield _batch(ASKED, [(chunk, b, texts if b == 0 else 0, target_texts if b == 0 else 0, own[0].stop - own[0].start, _planes(keys), _planes(count), None)])
+            yield _batch(ASKED, [(chunk, int(b), *told, own[0].stop - own[0].start, _planes(keys), _planes(count), None)])
+            told = (0, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, found, tokens, number = [], [], 0, 0
@@ -145,10 +149,9 @@ def _answered(table: pa.Table) -> pa.Table:
     """The rows of one bucket with the corpus counts of their words and pairs; a chunk's texts pass."""
     rows = table.to_pylist()
     if rows[0]["own"] is not None:
-        return pa.Table.from_batches([_batch(ANSWERED, [(r["chunk"], -1, 0, 0, 0, 0, 0, 0, None, r["own"]) for r in rows])])
+        return pa.Table.from_batches([_batch(ANSWERED, [(r["chunk"], -1, 0, None, r["own"]) for r in rows])])
     steps, count = [_numbers(r["keys"], U64) for r in rows], [_numbers(r["counts"], np.int64).reshape(2, -1) for r in rows]
-    texts, target_texts = sum(r["texts"] for r in rows), sum(r["target_texts"] for r in rows)
-    totals, at, vocabulary, tokens = [], [], 0, (0, 0)
+    totals, at = [], []
     for k in (0, 1):
         of = [slice(0, r["words"]) if k == 0 else slice(r["words"], None) for r in rows]
         keys, where = np.unique(np.concatenate([np.cumsum(x[o], dtype=U64) for x, o in zip(steps, of, strict=True)]), return_inverse=True)
@@ -158,29 +161,40 @@ def _answered(table: pa.Table) -> pa.Table:
             np.add.at(total[i], where, own[i])
         totals.append(total)
         at.append(np.split(where, np.cumsum([len(x[o]) for x, o in zip(steps, of, strict=True)])[:-1]))
-        if k == 0:
-            vocabulary, tokens = len(keys), tuple(int(x) for x in total.sum(axis=1))
     out = []
     for j, r in enumerate(rows):
         answer = np.concatenate([totals[k][i, at[k][j]] for i in (0, 1) for k in (0, 1)])
-        out.append((r["chunk"], r["bucket"], vocabulary, *tokens, texts, target_texts, r["words"], _planes(answer), None))
+        out.append((r["chunk"], r["bucket"], r["words"], _planes(answer), None))
     return pa.Table.from_batches([_batch(ANSWERED, out)])
 
 
-def _scored(buckets: int, p: Params):
-    """The texts of one chunk with the answers of all buckets, scored."""
+def _totalled(table: pa.Table) -> pa.Table:
+    """What one bucket adds to the totals: its distinct words, and the tokens and texts of its rows."""
+    if table["own"].null_count < len(table):
+        return pa.Table.from_batches([_batch(TOTALS, [(0, 0, 0, 0, 0)])])
+    words, tokens = [np.zeros(0, U64)], np.zeros(2, np.int64)
+    for r in table.select(["words", "keys", "counts"]).to_pylist():
+        words.append(np.cumsum(_numbers(r["keys"], U64)[: r["words"]], dtype=U64))
+        tokens += _numbers(r["counts"], np.int64).reshape(2, -1)[:, : r["words"]].sum(axis=1)
+    texts = [sum(table[c].to_pylist()) for c in ("texts", "target_texts")]
+    return pa.Table.from_batches([_batch(TOTALS, [(len(np.unique(np.concatenate(words))), *tokens.tolist(), *texts)])])
+
+
+def _scored(p: Params):
+    """The texts of one chunk with the answers of its buckets and the totals, scored."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        if [r["bucket"] for r in rows] != list(range(-1, buckets)):
-            raise RuntimeError("a chunk of texts doesn't have one answer of each bucket")
+        if rows[0]["own"] is None:
+            raise RuntimeError("answers without their texts")
         parts = pa.ipc.open_stream(rows[0]["own"]).read_all().to_batches()
         c = _Chunk(parts, [_found(x) for x in parts])
         answers = rows[1:]
-        vocabulary, texts = sum(r["vocabulary"] for r in answers), [sum(r[n] for r in answers) for n in ("texts", "target_texts")]
-        tokens = [sum(r[n] for r in answers) for n in ("tokens", "target_tokens")]
+        vocabulary, texts = rows[0]["vocabulary"], [rows[0][n] for n in ("texts", "target_texts")]
+        tokens = [rows[0][n] for n in ("tokens", "target_tokens")]
+        none = [np.zeros((2, 0), np.int64)]
         counts = [_numbers(r["counts"], np.int64).reshape(2, -1) for r in answers]
-        known = [np.concatenate([x[:, : r["words"]] if k == 0 else x[:, r["words"] :] for x, r in zip(counts, answers, strict=True)], axis=1) for k in (0, 1)]
+        known = [np.concatenate(none + [x[:, : r["words"]] if k == 0 else x[:, r["words"] :] for x, r in zip(counts, answers, strict=True)], axis=1) for k in (0, 1)]
         if [x.shape[1] for x in known] != [len(x) for x in c.keys]:
             raise RuntimeError("answers belong to another cut of the texts")
         word, pair = c.at
@@ -210,8 +224,11 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     bits = max(1, (-(-size // p.bucket) - 1).bit_length()) if size else 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "target")
     asked = text_batches(rows).mapInArrow(_asked(bits, p), ASKED)
-    answered = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
-    return answered.groupBy("chunk").applyInArrow(_scored(1 << bits, p), SCORED)
+    # Both take the same exchange of ``asked``, which is made once.
+    answered = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED).withColumn("one", F.lit(1))
+    totals = asked.groupBy("bucket").applyInArrow(_totalled, TOTALS).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (x.split()[0] for x in TOTALS.split(", "))))
+    known = answered.join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")  # one row
+    return known.groupBy("chunk").applyInArrow(_scored(p), SCORED)
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, p: Params = Params()) -> DataFrame:
