@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEAST = 64
+LEAST = 16
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

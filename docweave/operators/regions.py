@@ -10,36 +10,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fold import bind, states, tokens
+from ..functions.fold import bind, states
 
 # The line ends of Python's str.splitlines, which the scanner of these regions uses.
 _ENDS = r"\n\r\x0B\x0C\x1C-\x1E\u0085  "
-_FENCE = rf"(?<![^{_ENDS}])[ \t>]*+(?:`{{3,}}+[^`{_ENDS}]*+|~{{3,}}+[^{_ENDS}]*+)(?:\r\n|[{_ENDS}]|\z)"
-DELIMITER = rf"({_FENCE})|\\*+`++|\\*+\$"
-_BLANK = r"\A[ \t>]*(?:`+|~+)[ \t]*[\r\n]*\z"
+# A fence line begins with the line end before it, so that most places in a text are passed over by their first character.
+_FENCE = rf"(?:\A|[{_ENDS}])[ \t>]*+(?:`{{3,}}+[^`{_ENDS}]*+(?=[{_ENDS}]|\z)|~{{3,}}+[^{_ENDS}]*+)"
+DELIMITER = rf"{_FENCE}|\\*+`++|\\*+\$"
+_LED = rf"\A[{_ENDS}]"
+_BLANK = rf"\A[{_ENDS}]?[ \t>]*(?:`+|~+)[ \t]*\z"
 
+_MAYBE = rf"\A(?:[{_ENDS} \t>]|`{{3}}|~{{3}})"
 _SPANS = "array<struct<start:int,end:int>>"
+_MARKS = "array<struct<start:int,end:int,kind:string,size:int,char:string,blank:boolean,live:boolean,double:boolean>>"
 
 
 def _delimiters(text: Column) -> Column:
     """start, end (without the backslashes before), kind (fence, run, dollar), size, char, blank, live, double."""
-    found = F.arrays_zip(tokens(text, DELIMITER).alias("t"), F.regexp_extract_all(text, F.lit(DELIMITER), F.lit(1)).alias("fence"))
-
-    def read(x: Column) -> Column:
-        value = x["t"]["value"]
-        mark = F.regexp_extract(x["fence"], "`{3,}|~{3,}", 0)
-        sign = F.ltrim(value, F.lit("\\"))
-        fence = x["fence"] != ""
-        size = F.when(fence, F.length(mark)).otherwise(F.length(sign))
-        return F.struct(
-            F.when(fence, x["t"]["start"]).otherwise(x["t"]["end"] - size).alias("start"),
-            x["t"]["end"].alias("end"),
-            F.when(fence, "fence").when(F.endswith(value, F.lit("$")), "dollar").otherwise("run").alias("kind"),
-            size.alias("size"),
-            F.substr(mark, F.lit(1), F.lit(1)).alias("char"),
-            x["fence"].rlike(_BLANK).alias("blank"),
-            (fence | ((F.length(value) - size) % 2 == 0)).alias("live"),
-        )
+    found = F.regexp_extract_all(text, F.lit(DELIMITER), F.lit(0))
+    pieces = F.transform(F.arrays_zip(F.split(text, DELIMITER, -1).alias("gap"), found.alias("value")), lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.substr(x["gap"], F.lit(1), F.lit(2)).alias("head"), F.coalesce(x["value"], F.lit("")).alias("value")))
+
+    def placed(own: Column) -> Column:
+        def read(ends: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                after, value, start, end = F.get(own, i + 1), x["value"], ends[i] + x["gap"], ends[i + 1]
+                led = value.rlike(_LED)
+                fence = led | ((start == 0) & value.rlike(r"\A[ \t>]*(?:`{3}|~{3})"))
+                # What follows a fence line is a line end or nothing; a run of backticks at the front is followed by neither.
+                ahead = F.concat(after["head"], F.substr(after["value"], F.lit(1), F.lit(1)))
+                closed = F.when(ahead.startswith("\r\n"), 2).when(ahead.rlike(_LED), 1).otherwise(0)
+                line = fence & (led | (closed > 0) | (ahead == ""))
+                mark = F.regexp_extract(value, "`{3,}|~{3,}", 0)
+                size = F.when(line, F.length(mark)).otherwise(F.length(F.ltrim(value, F.lit("\\"))))
+                full = F.struct(
+                    F.when(line, start + led.cast("int")).otherwise(end - size).alias("start"),
+                    (end + F.when(line, closed).otherwise(0)).alias("end"),
+                    F.when(line, "fence").when(F.endswith(value, F.lit("$")), "dollar").otherwise("run").alias("kind"),
+                    size.alias("size"),
+                    F.when(line, F.substr(mark, F.lit(1), F.lit(1))).otherwise("").alias("char"),
+                    (line & value.rlike(_BLANK) & ((closed == 0) | ahead.rlike(r"\A[\r\n]"))).alias("blank"),
+                    (line | ((F.length(value) - size) % 2 == 0)).alias("live"),
+                )
+                # Most are single signs, for which two look-ups do.
+                sign = F.ltrim(value, F.lit("\\"))
+                plain = F.struct(
+                    (end - F.length(sign)).alias("start"), end.alias("end"), F.when(sign == "$", "dollar").otherwise("run").alias("kind"), F.length(sign).alias("size"),
+                    F.lit("").alias("char"), F.lit(False).alias("blank"), ((F.length(value) - F.length(sign)) % 2 == 0).alias("live"),
+                )
+                return F.when(value.rlike(_MAYBE), full).otherwise(plain)
+
+            return F.transform(F.slice(own, F.lit(1), F.size(own) - 1), one)
+
+        return bind(states(own, F.lit(0), lambda at, x: at + x["gap"] + F.length(x["value"]), "int"), read)
 
     def doubled(own: Column) -> Column:
         def more(x: Column, i: Column) -> Column:
@@ -50,7 +72,7 @@ def _delimiters(text: Column) -> Column:
 
         return F.transform(own, more)
 
-    return bind(F.transform(found, read), doubled)
+    return F.when(F.size(found) > 0, bind(bind(pieces, placed), doubled)).otherwise(F.array().cast(_MARKS))
 
 
 def _fenced(marks: Column) -> Column:
@@ -78,7 +100,9 @@ def _fenced(marks: Column) -> Column:
 
         return bind(both, parts)
 
-    return bind(state, split)
+    # Without a fence line there is one gap, and nothing to fold.
+    bare = F.struct(F.transform(marks, lambda x: x.withField("gap", F.lit(0))).alias("marks"), F.array().cast(_SPANS).alias("fences"))
+    return F.when(F.exists(marks, lambda x: x["kind"] == "fence"), bind(state, split)).otherwise(bare)
 
 
 def _paired(marks: Column) -> Column:
