@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import held
 from ..storage import convert, export
 from .rows import map_rows
 
@@ -122,7 +123,7 @@ def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_l
         rows = taken.withColumn("status", status)
         ok = F.col("status").isin("move", "update")
         rows = rows.select("node_id", "parent_node_id", "title", "status", F.when(ok, F.col("page_id")).alias("page_id"), F.when(ok, F.col("version")).alias("version"), F.col("target").alias("target_parent_id"), "depth", "pending")
-        rows = _held(rows)
+        rows = held(rows, "level")
         if rows.isEmpty():
             break
         out = rows if out is None else out.unionByName(rows)
@@ -135,11 +136,6 @@ def plan(nodes: DataFrame, index: DataFrame, fix_hierarchy: bool = True, depth_l
     return out.drop("pending") if out is not None else nodes.limit(0).select("node_id", "parent_node_id", "title", F.lit("").alias("status"), F.lit("").alias("page_id"), F.lit(0).alias("version"), F.lit("").alias("target_parent_id"), F.lit(0).alias("depth"))
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """Rows that the next level starts from, without what led to them."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
-
-
 def descendants(index: DataFrame, root: str, depth: int = 0) -> DataFrame:
     """id, depth of the pages below ``root`` and itself, breadth first; ``depth`` 0 is no limit, cycles end."""
     level = index.where(F.col("id") == root).select("id", F.lit(0).alias("depth"))
@@ -149,7 +145,7 @@ def descendants(index: DataFrame, root: str, depth: int = 0) -> DataFrame:
     while not level.isEmpty() and (depth == 0 or n < depth):
         n += 1
         level = edges.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(n).alias("depth"))
-        level = _held(level.join(seen.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+        level = held(level.join(seen.select("id"), "id", "left_anti").dropDuplicates(["id"]), "level")
         seen = seen.unionByName(level)
     return seen
 

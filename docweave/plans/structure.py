@@ -219,8 +219,15 @@ _WORDS = "SELECT doc_id, unnest(y) AS w, generate_subscripts(y, 1) - 1 AS i FROM
 
 
 def _words(spark, sf_dir):
+    """doc_id and the words of each document as an array; what is needed of them is taken out before it becomes rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1)).alias("i", "w"))
+    return docs.select("doc_id", F.split(F.translate(F.coalesce("text", F.lit("")), "\n", " "), " ", -1).alias("w"))
+
+
+def _places(pattern):
+    """(i, w) of the words that match."""
+    found = F.transform("w", lambda w, i: F.when(w.rlike(pattern), F.struct(i.alias("i"), w.alias("w"))))
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 @query(f"""
@@ -233,22 +240,22 @@ def _words(spark, sf_dir):
 def doc_span_containment(spark, sf_dir):
     """Spans that begin at a capital word and reach over as many words as it has letters, against sentences and each other."""
     w = _words(spark, sf_dir)
-    stop = F.col("w").rlike("[.!?]$")
-    k = prefix.running_sum(w, ["doc_id"], "i", stop.cast("int"), "k").withColumn("k", F.col("k") - stop.cast("int"))
-    sentences = k.groupBy("doc_id", "k").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end")).drop("k")
-    own = w.where(F.col("w").rlike("^[A-Z]")).select("doc_id", F.col("i").alias("start"), (F.col("i") + F.length("w")).alias("end"))
+    stops = F.transform(_places("[.!?]$"), lambda x: x["i"] + 1)
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), stops, F.array(F.size("w"))))
+    sentences = w.select("doc_id", bounds.alias("b")).select("doc_id", F.explode(F.arrays_zip(F.slice("b", F.lit(1), F.size("b") - 1).alias("start"), F.slice("b", F.lit(2), F.size("b") - 1).alias("end"))).alias("x")).select("doc_id", "x.*")
+    own = w.select("doc_id", F.explode(_places("^[A-Z]")).alias("x")).select("doc_id", F.col("x.i").alias("start"), (F.col("x.i") + F.length("x.w")).alias("end"))
     return spans.overlapping(spans.contained(own, sentences, "doc_id"), "doc_id")
 
 
 @query(f"""
-    WITH w AS ({_WORDS}), p AS (SELECT doc_id, w AS name, min(i) AS a, max(i) AS b FROM w WHERE w <> '' GROUP BY doc_id, w HAVING min(i) < max(i)),
+    WITH w AS ({_WORDS}), p AS (SELECT doc_id, w AS name, min(i) AS a, max(i) AS b FROM w WHERE regexp_matches(w, '^[A-Z]') GROUP BY doc_id, w HAVING min(i) < max(i)),
     x AS (SELECT p.doc_id, p.name, z.name AS other, p.b AS "at", z.a AS c FROM p JOIN p z ON z.doc_id = p.doc_id AND p.a < z.a AND z.a < p.b AND p.b < z.b)
     SELECT doc_id, arg_min(name, ("at", -c)) AS name, arg_min(other, ("at", -c)) AS other, CAST(min("at") AS INTEGER) AS "at" FROM x GROUP BY doc_id
 """)
 def doc_first_crossing(spark, sf_dir):
-    """Each word that occurs twice in a document spans from its first to its last place; where such spans cross first."""
-    w = _words(spark, sf_dir).where("w <> ''")
-    pairs = w.groupBy("doc_id", F.col("w").alias("name")).agg(F.min("i").alias("open"), F.max("i").alias("close"))
+    """Each capital word that occurs twice in a document spans from its first to its last place; where such spans cross first."""
+    rows = _words(spark, sf_dir).select("doc_id", F.explode(_places("^[A-Z]")).alias("x"))
+    pairs = rows.groupBy("doc_id", F.col("x.w").alias("name")).agg(F.min("x.i").alias("open"), F.max("x.i").alias("close"))
     return spans.first_crossing(pairs, "doc_id", "name")
 
 
